@@ -57,7 +57,7 @@ TEXT = {
     + " as value from (" + ORDER_DAYS + ") q",
     "fx_rooms": """
         select 0 as site_id, o_orderpriority as sensor, {DS} as start_ts, {DS} + 86400 as end_ts,
-               cast(20 as double) + (p / cast(100000 as double) - cast(2.5 as double)) as value
+               cast(20 as double) + (p / cast(97003 as double) - cast(2.5 as double)) as value
         from (select o_orderpriority, cast(o_orderdate as date) as d, avg(o_totalprice) as p
               from {orders} group by o_orderpriority, cast(o_orderdate as date)) q""",
     # A running total read at midnight.
@@ -100,7 +100,7 @@ TEXT = {
         join (""" + "{META}" + """) m on m.metadata_id = e.user_id % 25
         where e.user_id % 25 < 23""",
     "fx_entities": """
-        select n_nationkey as site_id,
+        select n_nationkey % 3 as site_id,
                'sensor.' || lower(n_name) || case when n_nationkey % 4 = 3 then '' else '_local_temperature' end as sensor,
                'number.' || lower(n_name) || case n_nationkey % 3
                    when 0 then '_temperature_offset' when 1 then '_local_temperature_calibration'
@@ -108,15 +108,20 @@ TEXT = {
         from {nation}""",
     # Thermometers with an offset setting: one sensor and one setting per site, changed now and then.
     "fx_thermometer": """
-        select user_id % 6 as site_id, event_id as row_id, {EP} as ts, 18 + value / cast(50 as double) as value
+        select user_id % 6 as site_id, 'sensor.s' || user_id % 6 || '_temperature' as sensor, event_id as row_id,
+               {WHOLE} as ts, 18 + value / cast(50 as double) as value
         from {events}""",
     "fx_settings": """
-        select user_id % 6 as site_id, event_id as row_id, {EP} as ts,
-               cast(floor(value / 3) as int) % 4 - cast(1.5 as double) as value
+        select user_id % 6 as site_id, 'number.s' || user_id % 6 || '_temperature_offset' as setting, event_id as row_id,
+               {WHOLE} as ts, cast(floor(value / 3) as int) % 4 - cast(1.5 as double) as value
         from {events} where event_type = 'error' and user_id % 6 < 5""",
 }
-# A second level of names inside the texts above.
-TEXT = {k: v for k, v in TEXT.items()}
+# The same total with a change of meter (a fall) and a stretch without readings (unchanged months).
+TEXT["fx_meter_flawed"] = (
+    "select site_id, ts, case when ts >= 930000000 then total - 15000 else total end as total from ("
+    + TEXT["fx_meter"]
+    + ") m where not (ts between 830000000 and 837000000)"
+)
 
 
 def _fill(text: str, dialect: dict[str, str], tables: dict[str, str]) -> str:
@@ -128,6 +133,7 @@ def _fill(text: str, dialect: dict[str, str], tables: dict[str, str]) -> str:
         "DS": dialect["DS"],
         "HOUR_TS": f"({whole} - {whole} % 3600)",
         "FIVE_TS": f"({whole} - {whole} % 300)",
+        "WHOLE": whole,
         "STR": dialect["STR"],
         "META": TEXT["fx_meta"],
     }

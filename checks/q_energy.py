@@ -55,7 +55,8 @@ def steps(fx):
     return energy.kept_steps(paired(fx))
 
 
-@query("slot_energy", f"select site_id, role, slot, {r('kwh')} as kwh, seconds from role_slots")
+# A slot's energy is a multiple of 1/18,000,000 kWh, which has ties at 6 places but none at 7.
+@query("slot_energy", f"select site_id, role, slot, {r('kwh', 7)} as kwh, seconds from role_slots", places=7)
 def slot_energy(fx):
     return energy.slot_energy(samples(fx), keys=("site_id", "role"))
 
@@ -67,15 +68,15 @@ def common_span(fx):
     return energy.common_span(samples(fx))
 
 
-PAIRED_SQL = f"select site_id, slot, fate, {r('import_kwh')} as import_kwh, {r('export_kwh')} as export_kwh, seconds from paired"
+PAIRED_SQL = f"select site_id, slot, fate, {r('import_kwh', 7)} as import_kwh, {r('export_kwh', 7)} as export_kwh, seconds from paired"
 
 
-@query("paired_slots", PAIRED_SQL)
+@query("paired_slots", PAIRED_SQL, places=7)
 def paired_slots(fx):
     return paired(fx).select("site_id", "slot", "fate", "import_kwh", "export_kwh", "seconds")
 
 
-@query("paired_slots_join", PAIRED_SQL)
+@query("paired_slots_join", PAIRED_SQL, places=7)
 def paired_slots_join(fx):
     slots = energy.slot_energy(samples(fx), keys=("site_id", "role"))
     sides = [slots.filter(F.col("role") == role).drop("role") for role in ("import", "export")]

@@ -28,7 +28,7 @@ def part(name: str, sql: str) -> None:
 
 def _needed(sql: str, seen: list[str]) -> list[str]:
     for name in CTES:
-        if name not in seen and re.search(rf"\b{name}\b", sql):
+        if name not in seen and re.search(rf"\b(?:from|join)\s+{name}\b", sql):
             _needed(CTES[name], seen)
             if name not in seen:
                 seen.append(name)

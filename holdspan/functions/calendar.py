@@ -123,7 +123,8 @@ def heating_season(day: Column) -> Column:
 
 def season_label(start_year: Column) -> Column:
     """``2023/24`` for the season that starts in 2023."""
-    return F.format_string("%d/%02d", start_year, F.pmod(start_year + 1, F.lit(100)))
+    text = F.format_string("%d/%02d", start_year, F.pmod(start_year + 1, F.lit(100)))
+    return F.when(start_year.isNotNull(), text)
 
 
 def month_name(month: Column) -> Column:

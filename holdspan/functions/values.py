@@ -49,7 +49,8 @@ def parse_value(text: Column) -> Column:
 def parse_timestamp(text: Column) -> Column:
     """A stored text as UTC epoch seconds: with a zone, or naive and taken as UTC."""
     plain = trimmed(text)
-    naive = F.concat(F.regexp_replace(F.regexp_replace(plain, "Z+$", ""), "T", " "), F.lit("+00:00"))
+    naive = F.regexp_replace(F.regexp_replace(plain, "Z+$", ""), "T", " ")
+    naive = F.concat(F.regexp_replace(naive, r" ([0-9]{2}:[0-9]{2})$", " $1:00"), F.lit("+00:00"))
     return F.unix_seconds(
         F.when(plain.rlike(ZONED), F.upper(plain).try_cast("timestamp")).when(
             plain.rlike(NAIVE), naive.try_cast("timestamp")

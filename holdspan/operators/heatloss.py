@@ -11,7 +11,7 @@ from holdspan import KEYS
 from holdspan.functions import calendar as C
 from holdspan.options import HeatingOptions
 from holdspan.operators.intervals import slot_slices
-from holdspan.operators.meter import by_season_and_all
+from holdspan.operators.meter import by_season_and_all, degree_day_line
 from holdspan.operators.regress import fit_line
 
 SITE = ("site_id",)
@@ -108,7 +108,10 @@ def heating_months(
 
 
 def heat_loss(months: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
-    """The loss line of each season and of the record, NULL where there is none that rises."""
+    """The loss line of each season and of the record, NULL where there is none that rises.
+
+    ``slope`` is the degree-day line of the same months, kept beside it to attribute changes.
+    """
     counted = F.col("not_counted").isNull()
 
     def over(column: str) -> Column:
@@ -124,6 +127,7 @@ def heat_loss(months: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
         .groupBy(*keys, "season")
         .agg(
             line.alias("_fit"),
+            degree_day_line().getField("slope").alias("slope"),
             F.count_if(counted).alias("heating_months"),
             over("hours").alias("heating_hours"),
             over("counted_hours").alias("_counted"),
@@ -140,6 +144,7 @@ def heat_loss(months: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
         "heating_months",
         "heating_hours",
         "sound_kwh",
+        "slope",
         F.col("_line.slope").alias("loss_slope"),
         (F.col("_line.slope") * 1_000.0).alias("watts_per_kelvin"),
         F.col("_line.r2").alias("r2"),
@@ -149,14 +154,9 @@ def heat_loss(months: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
     )
 
 
-def change_cause(losses: DataFrame, seasons: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
-    """Each season against the last earlier one with both lines: held, building, behaviour or both.
-
-    ``seasons``: the degree-day lines per season (``slope``).
-    """
-    rows = losses.filter("season is not null").join(
-        seasons.filter("season is not null").select(*keys, "season", "slope"), [*keys, "season"]
-    )
+def change_cause(losses: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
+    """Each season against the last earlier one with both lines: held, building, behaviour or both."""
+    rows = losses.filter("season is not null")
     both = F.col("slope").isNotNull() & F.col("loss_slope").isNotNull()
     state = F.when(both, F.struct("season", "slope", "loss_slope", "house"))
     before = Window.partitionBy(*keys).orderBy("season").rowsBetween(Window.unboundedPreceding, -1)
@@ -195,7 +195,7 @@ def degree_warmer(losses: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
     ``by_overall_kwh`` uses the record's line; ``fullest`` marks the season with the most heating
     months, ties to the latest.
     """
-    overall = losses.filter("season is null").select(*keys, F.col("loss_slope").alias("_all"))
+    overall = F.max(F.when(F.col("season").isNull(), F.col("loss_slope"))).over(Window.partitionBy(*keys))
     rank = F.row_number().over(
         Window.partitionBy(*keys, F.col("season").isNull()).orderBy(
             F.desc("heating_months"), F.desc("season")
@@ -204,7 +204,7 @@ def degree_warmer(losses: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
     kwh = F.col("loss_slope") * F.col("heating_hours")
     energy = F.when(F.col("sound_kwh") > 0, F.col("sound_kwh"))
     return (
-        losses.join(overall, list(keys), "left")
+        losses.withColumn("_all", overall)
         .withColumn("fullest", (rank == 1) & F.col("season").isNotNull() & (F.col("heating_months") > 0))
         .select(
             *keys,

@@ -133,23 +133,23 @@ def judged_changes(
     """
     step = F.col("degrees") - F.col("before")
     changes = intervals.filter(F.abs(step) >= MIN_JUDGED_CHANGE).select(
-        *keys, F.col("changed_ts").alias("at"), step.alias("step"), (F.col("changed_ts") - GRACE).alias("_split")
+        *keys, "changed_ts", step.alias("step"), (F.col("changed_ts") - GRACE).alias("_split")
     )
     read = readings.select(*keys, "ts", "row_id", F.struct("ts", "row_id", "value").alias("reading"))
     last = read.groupBy(*keys, "ts").agg(F.max("reading").alias("reading"))
     before = as_of(changes, last, keys, "reading", "_reading", probe_ts="_split", seconds=CHUNK, strict=True)
-    recent = before.filter(F.col("at") - F.col("_reading.ts") <= BEFORE_WINDOW + GRACE)
+    recent = before.filter(F.col("changed_ts") - F.col("_reading.ts") <= BEFORE_WINDOW + GRACE)
     width = 3_600
     ends = F.array_distinct(
-        F.array(chunk_of(F.col("_split"), width), chunk_of(F.col("at") + AFTER_WINDOW, width))
+        F.array(chunk_of(F.col("_split"), width), chunk_of(F.col("changed_ts") + AFTER_WINDOW, width))
     )
     near = recent.withColumn("_bin", F.explode(ends)).join(
         readings.withColumn("_bin", chunk_of(F.col("ts"), width)), [*keys, "_bin"]
     )
     delta = F.col("value") - F.col("_reading.value")
     moved = (
-        near.filter((F.col("ts") >= F.col("_split")) & (F.col("ts") <= F.col("at") + AFTER_WINDOW))
-        .groupBy(*keys, "at", "step")
+        near.filter((F.col("ts") >= F.col("_split")) & (F.col("ts") <= F.col("changed_ts") + AFTER_WINDOW))
+        .groupBy(*keys, "changed_ts", "step")
         .agg(F.max(F.struct(F.abs(delta).alias("size"), "ts", "row_id", delta.alias("moved"))).alias("_most"))
     )
     by = F.col("_most.moved")
@@ -158,7 +158,7 @@ def judged_changes(
         .when(F.signum(by) == F.signum("step"), "added")
         .otherwise("subtracted")
     )
-    return moved.select(*keys, "at", "step", by.alias("moved"), verdict.alias("verdict"))
+    return moved.select(*keys, "changed_ts", "step", by.alias("moved"), verdict.alias("verdict"))
 
 
 def offset_direction(judged: DataFrame, sensors: DataFrame, keys: Sequence[str] = SENSOR) -> DataFrame:

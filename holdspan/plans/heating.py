@@ -35,14 +35,8 @@ def degree_day_report(
     by_room = degree.room_means(room_days, outside_days, cover, grains)
 
     readings = meter.meter_readings(totals, SITE)
-    months = meter.left_out(
-        meter.month_energy(readings, outside_days, tz, SITE),
-        meter.month_weather(outside_days, options, SITE),
-        SITE,
-    )
-    own = meter.base_load(months, SITE)
-    loads = meter.nearest_base_load(months, own, SITE)
-    heating = meter.heating_energy(months, loads, SITE)
+    months = meter.left_out(meter.month_energy(readings, outside_days, tz, options, SITE), SITE)
+    heating = meter.heating_energy(months, SITE)
     seasons = meter.efficiency(heating, SITE)
 
     outside_hours = heatloss.hourly_means(outside, cover, SITE)
@@ -59,11 +53,11 @@ def degree_day_report(
         "rooms": by_room,
         "floors": degree.floor_means(by_room),
         "months": meter.month_report(heating, SITE),
-        "seasons": meter.season_report(seasons, loads, SITE),
+        "seasons": meter.season_report(seasons, SITE),
         "efficiency": seasons,
         "loss_months": counted,
         "losses": losses,
-        "causes": heatloss.change_cause(losses, seasons, SITE),
+        "causes": heatloss.change_cause(losses, SITE),
         "warmer": heatloss.degree_warmer(losses, SITE),
         "benchmark": benchmark.per_square_metre(years, house_areas(rooms, houses), SITE),
     }
