@@ -320,7 +320,7 @@ def cube(fx):
 
 @query("axis_max", f"select site_id, series_id, {r('max_value')} as max_value, n_buckets from axis")
 def axis_max(fx):
-    return grid.axis_max(cube(fx), STEP)
+    return grid.axis_max(fx.fx_spans, STEP)
 
 
 @query("exposure_grid", """
@@ -328,7 +328,7 @@ def axis_max(fx):
     from placed group by all""")
 def exposure_grid(fx):
     c = cube(fx)
-    return grid.exposure_grid(grid.with_grouping(c, "month"), grid.axis_max(c, STEP))
+    return grid.exposure_grid(grid.with_grouping(c, "month"), grid.axis_max(fx.fx_spans, STEP))
 
 
 @query("evidence_days", """
@@ -348,7 +348,7 @@ def full_days_by_hours(fx):
 
 def probabilities(fx, by="month"):
     c = cube(fx)
-    axis = grid.axis_max(c, STEP)
+    axis = grid.axis_max(fx.fx_spans, STEP)
     if by is None:
         return grid.exceedance(grid.exposure_grid(c, axis, ()), (), STEP)
     return grid.exceedance(grid.exposure_grid(grid.with_grouping(c, by), axis), ("facet",), STEP)
@@ -403,7 +403,7 @@ part("windows", """
 
 def windows(fx):
     c = cube(fx)
-    return grid.reliable_window(grid.with_grouping(c, "month"), grid.axis_max(c, STEP), STEP, 420.0, 0.85)
+    return grid.reliable_window(grid.with_grouping(c, "month"), grid.axis_max(fx.fx_spans, STEP), STEP, 420.0, 0.85)
 
 
 @query("reliable_window", "select *, coalesce(hours = latest - earliest + 1, true) as contiguous from windows")
@@ -418,7 +418,7 @@ def reliable_window(fx):
              sum(case when bucket >= 90 then seconds else 0 end)::double / sum(seconds) >= 0.12::double as good from placed group by all) q where good""")
 def facets_never_reaching(fx):
     c = cube(fx)
-    found = grid.reliable_window(grid.with_grouping(c, "month"), grid.axis_max(c, STEP), STEP, 4490.0, 0.12)
+    found = grid.reliable_window(grid.with_grouping(c, "month"), grid.axis_max(fx.fx_spans, STEP), STEP, 4490.0, 0.12)
     return grid.facets_never_reaching(found).select(*KEYS, "facet")
 
 
@@ -437,7 +437,7 @@ part("marks", """
           union all select site_id, series_id, facet, null, hour, days from facts_month) q group by all""")
 def probability_table(fx):
     c = cube(fx)
-    axis = grid.axis_max(c, STEP)
+    axis = grid.axis_max(fx.fx_spans, STEP)
     seen = grid.all_hours(grid.columns_seen(grid.with_grouping(c, "month")), ("facet",))
     return grid.probability_table(probabilities(fx), seen, axis, STEP)
 

@@ -85,7 +85,7 @@ def judged(fx):
     return offset.judged_changes(of_sensor(fx), fx.fx_thermometer)
 
 
-@query("offset_changes", f"select site_id, sensor, at, {r('step')} as step, {r('moved')} as moved, verdict from judged_moves")
+@query("offset_changes", f"select site_id, sensor, changed_ts, {r('step')} as step, {r('moved')} as moved, verdict from judged_moves")
 def offset_changes(fx):
     return judged(fx)
 

@@ -26,10 +26,7 @@ HOURS = tuple(range(24))
 def exposure_cube(
     samples: DataFrame, tz: str | Column, step: float, keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """Seconds and pieces per series, local day, hour and bucket (``low`` rounds down, ``high`` up).
-
-    Both roundings are kept so that the axis can be found from the cube instead of a second scan.
-    """
+    """Seconds and pieces per series, local day, hour and bucket, before any top is applied."""
     value = F.col("value")
     usable = samples.filter((F.col("end_ts") > F.col("start_ts")) & ~F.isnan(value))
     return (
@@ -39,24 +36,29 @@ def exposure_cube(
             "day",
             "hour",
             B.raw_bucket(value, step).alias("low"),
-            B.raw_bucket_up(value, step).alias("high"),
             "seconds",
         )
-        .groupBy(*keys, "day", "hour", "low", "high")
+        .groupBy(*keys, "day", "hour", "low")
         .agg(F.sum("seconds").alias("seconds"), F.count(F.lit(1)).alias("slices"))
     )
 
 
 def axis_max(
-    cube: DataFrame, step: float, quantile: float = 0.999, keys: Sequence[str] = KEYS
+    samples: DataFrame, step: float, quantile: float = 0.999, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Top of the axis per series: the time-weighted quantile of positive readings, rounded up.
 
-    The answer is a whole step, so ordering whole steps is exact and needs no sort of readings.
+    The answer is a whole step, so ordering whole steps is exact: samples are summed per step where
+    they lie, and only one row per step goes through the window.
     """
     share = min(max(quantile, 0.0), 1.0)
-    positive = F.when(F.col("high") > 0, F.col("seconds")).otherwise(F.lit(0))
-    weights = cube.groupBy(*keys, "high").agg(F.sum(positive).alias("weight"))
+    usable = samples.filter((F.col("end_ts") > F.col("start_ts")) & ~F.isnan("value"))
+    held = F.when(F.col("high") > 0, F.col("end_ts") - F.col("start_ts")).otherwise(F.lit(0))
+    weights = (
+        usable.withColumn("high", B.raw_bucket_up(F.col("value"), step))
+        .groupBy(*keys, "high")
+        .agg(F.sum(held).alias("weight"))
+    )
     over = Window.partitionBy(*keys)
     running = F.sum("weight").over(over.orderBy("high"))
     total = F.sum("weight").over(over)
@@ -70,12 +72,12 @@ def axis_max(
 
 
 def fixed_axis(
-    cube: DataFrame, step: float, max_value: float, keys: Sequence[str] = KEYS
+    samples: DataFrame, step: float, max_value: float, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """The same axis for every series."""
     top = F.lit(float(max_value))
     return (
-        cube.select(*keys)
+        samples.select(*keys)
         .distinct()
         .select(*keys, top.alias("max_value"), B.bucket_count(top, step).alias("n_buckets"))
     )
@@ -256,7 +258,8 @@ def reliable_window(
     axis; the edge answered for is part of the result.
     """
     wanted = B.bucket_at_least(F.lit(float(threshold)), step, F.col("n_buckets"))
-    hit = F.when(B.top_clamped(F.col("low"), F.col("n_buckets")) >= wanted, F.col("seconds")).otherwise(F.lit(0))
+    # The wanted bucket is never above the top one, so raw buckets compare the same as clamped ones.
+    hit = F.when(F.col("low") >= wanted, F.col("seconds")).otherwise(F.lit(0))
     columns = (
         cube.join(axis, list(keys))
         .groupBy(*keys, *by, "n_buckets", "hour", "day")

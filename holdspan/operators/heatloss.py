@@ -42,10 +42,14 @@ def hourly_means(
 
 
 def group_hours(hours: DataFrame, rooms: DataFrame) -> DataFrame:
-    """A room's hours: the plain mean of its sensors that have the hour."""
+    """A room's hours: the plain mean of its sensors that have the hour.
+
+    Laid out by (site, hour), which also serves the house mean and its meeting with the outside.
+    """
     dim = rooms.select("site_id", "floor_pos", "room_pos", "sensor")
     return (
         hours.join(dim, ["site_id", "sensor"])
+        .repartition("site_id", "hour_ts")
         .groupBy("site_id", "floor_pos", "room_pos", "hour_ts")
         .agg(F.avg("mean").alias("mean"))
     )

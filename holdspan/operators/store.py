@@ -130,8 +130,8 @@ def bounded_store(
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("start_ts", kind="stable")
         size = usable[works]
-        low = _replay(pdf, np.zeros(len(size)), size, spec)[0]
-        high = _replay(pdf, size.copy(), size, spec)[0]
+        both = np.concatenate([np.zeros(len(size)), size])
+        low, high = np.split(_replay(pdf, both, np.tile(size, 2), spec)[0], 2)
         return labelled(
             pdf,
             capacity_kwh=capacity[works],
@@ -155,8 +155,12 @@ def bounded_store(
         )
 
     part = [*keys, "_block"]
-    cut = steps.select(*keys, "start_ts", "seconds", "import_kwh", "export_kwh").withColumn(
-        "_block", floor_to(F.col("start_ts"), block)
+    # Few bytes but much arithmetic: an explicit count keeps AQE from merging the blocks into one task.
+    tasks = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = (
+        steps.select(*keys, "start_ts", "seconds", "import_kwh", "export_kwh")
+        .withColumn("_block", floor_to(F.col("start_ts"), block))
+        .repartition(tasks, *part)
     )
     if works.any():
         blocks = cut.groupBy(*part).applyInPandas(
@@ -165,7 +169,7 @@ def bounded_store(
         opened = _opening_levels(blocks, keys)
         played = (
             cut.groupBy(*part)
-            .cogroup(opened.groupBy(*part))
+            .cogroup(opened.repartition(tasks, *part).groupBy(*part))
             .applyInPandas(replay, schema("capacity_kwh", "drawn", "filled", "peak", "level"))
         )
         done = played.groupBy(*keys, "capacity_kwh").agg(

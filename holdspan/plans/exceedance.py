@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 
@@ -17,14 +17,19 @@ def exceedance_report(
     options: GridOptions = GridOptions(),
     gap_threshold: int = 86_400,
     keys: Sequence[str] = KEYS,
+    settle: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> dict[str, DataFrame]:
-    """Every table of the report, all from one cube per series, day, hour and bucket."""
+    """Every table of the report, all from one cube per series, day, hour and bucket.
+
+    ``settle`` is applied to the cube before the tables branch off it: pass one that checkpoints or
+    writes and reads back when several tables are wanted, so that the samples are cut only once.
+    """
     step, g = options.step, options.grouping
-    cube = grid.exposure_cube(samples, tz, step, keys)
+    cube = settle(grid.exposure_cube(samples, tz, step, keys))
     if options.max_value is None:
-        axis = grid.axis_max(cube, step, options.quantile, keys)
+        axis = grid.axis_max(samples, step, options.quantile, keys)
     else:
-        axis = grid.fixed_axis(cube, step, options.max_value, keys)
+        axis = grid.fixed_axis(samples, step, options.max_value, keys)
     faceted = grid.with_grouping(cube, g)
     span = coverage.spans(samples, tz, keys)
     possible = coverage.possible_days(span, g, keys)
