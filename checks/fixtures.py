@@ -1,7 +1,7 @@
 """Sensor-like inputs from the given tables, the same text for Spark and for the SQL oracle.
 
-``{EP}`` is the real epoch second of ``ts``, ``{DS}`` the epoch second of a date ``d`` and ``{R}``
-the type of real numbers.
+``{EP}`` is the real epoch second of ``ts``, ``{DS}`` the epoch second of a date ``d``.
+One site comes out of the data as a remainder by 1, so that its key is not folded to a constant.
 """
 
 from __future__ import annotations
@@ -47,22 +47,22 @@ TEXT = {
         from {events} where event_type <> 'error'""",
     # Intervals over several years, clock changes included.
     "fx_spans": """
-        select 0 as site_id, o_orderkey % 3 as series_id, o_orderkey as id,
+        select cast(o_orderkey % 1 as int) as site_id, o_orderkey % 3 as series_id, o_orderkey as id,
                {DS} + (o_orderkey * 7919) % 86400 as start_ts,
                {DS} + (o_orderkey * 7919) % 86400 + (o_custkey * 61) % 20000 + 1 as end_ts,
                o_totalprice / cast(100 as double) as value
         from (select *, cast(o_orderdate as date) as d from {orders}) q""",
-    "fx_outside": "select 0 as site_id, {DS} as start_ts, {DS} + 86400 as end_ts, "
+    "fx_outside": "select cast(n % 1 as int) as site_id, {DS} as start_ts, {DS} + 86400 as end_ts, "
     + SEASONAL
     + " as value from (" + ORDER_DAYS + ") q",
     "fx_rooms": """
-        select 0 as site_id, o_orderpriority as sensor, {DS} as start_ts, {DS} + 86400 as end_ts,
+        select cast(length(o_orderpriority) % 1 as int) as site_id, o_orderpriority as sensor, {DS} as start_ts, {DS} + 86400 as end_ts,
                cast(20 as double) + (p / cast(97003 as double) - cast(2.5 as double)) as value
         from (select o_orderpriority, cast(o_orderdate as date) as d, avg(o_totalprice) as p
               from {orders} group by o_orderpriority, cast(o_orderdate as date)) q""",
     # A running total read at midnight.
     "fx_meter": """
-        select 0 as site_id, {DS} + 86400 as ts,
+        select cast(n % 1 as int) as site_id, {DS} + 86400 as ts,
                sum(2 * greatest(cast(0 as double), 15 - (""" + SEASONAL + """)) + 10 + n % 5)
                  over (order by d rows between unbounded preceding and current row) as total
         from (""" + ORDER_DAYS + """) q""",
@@ -215,7 +215,7 @@ class Fixtures:
         return (
             priorities.withColumn("place", F.explode(places))
             .filter("place.of = sensor")
-            .select(F.lit(0).alias("site_id"), "place.floor_pos", "place.floor", "place.room_pos", "place.room", "sensor", "place.area")
+            .select((F.length("sensor") % 1).alias("site_id"), "place.floor_pos", "place.floor", "place.room_pos", "place.room", "sensor", "place.area")
         )
 
     @cached_property

@@ -57,16 +57,16 @@ def group_hours(hours: DataFrame, rooms: DataFrame) -> DataFrame:
 
 def house_hours(room_hours: DataFrame, rooms: DataFrame) -> DataFrame:
     """Area-weighted house mean of the hours every room with an area has."""
+    site = Window.partitionBy("site_id")
     measured = (
         rooms.filter("area is not null")
         .groupBy("site_id", "floor_pos", "room_pos")
         .agg(F.max("area").alias("area"))
-    )
-    house = measured.groupBy("site_id").agg(
-        F.sum("area").alias("_area"), F.count(F.lit(1)).alias("_rooms")
+        .withColumn("_area", F.sum("area").over(site))
+        .withColumn("_rooms", F.count(F.lit(1)).over(site))
     )
     return (
-        room_hours.join(measured.join(house, "site_id"), ["site_id", "floor_pos", "room_pos"])
+        room_hours.join(measured, ["site_id", "floor_pos", "room_pos"])
         .groupBy("site_id", "hour_ts")
         .agg(
             (F.sum(F.col("area") * F.col("mean")) / F.first("_area")).alias("house"),
@@ -81,8 +81,13 @@ def house_hours(room_hours: DataFrame, rooms: DataFrame) -> DataFrame:
 def degree_hours(
     house: DataFrame, outside: DataFrame, tz: str | Column, keys: Sequence[str] = SITE
 ) -> DataFrame:
-    """Per month, the hours both have and their difference; an hour joins a month by its middle."""
-    both = house.join(outside.select(*keys, "hour_ts", F.col("mean").alias("_out")), [*keys, "hour_ts"])
+    """Per month, the hours both have and their difference; an hour joins a month by its middle.
+
+    The outside hours come out of an explode, which size estimates do not see: a merge join keeps
+    them from being broadcast, and the house hours already lie by the join's keys.
+    """
+    out = outside.select(*keys, "hour_ts", F.col("mean").alias("_out")).hint("merge")
+    both = house.join(out, [*keys, "hour_ts"])
     month = C.month_start(C.local_day(F.col("hour_ts") + C.HOUR // 2, tz))
     hours, counted = F.col("hours"), F.col("counted_hours")
     return (

@@ -104,6 +104,8 @@ def apply_offset(
         .filter("to_ts > from_ts")
         .withColumn("_bin", bins(F.col("from_ts"), F.col("to_ts")))
         .drop("_lo", "_hi")
+        # The bins of a setting are many more rows than size estimates see: never broadcast them.
+        .hint("merge")
     )
     placed = samples.filter("end_ts > start_ts").withColumn(
         "_bin", bins(F.col("start_ts"), F.col("end_ts"))

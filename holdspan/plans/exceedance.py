@@ -21,8 +21,8 @@ def exceedance_report(
 ) -> dict[str, DataFrame]:
     """Every table of the report, all from one cube per series, day, hour and bucket.
 
-    ``settle`` is applied to the cube before the tables branch off it: pass one that checkpoints or
-    writes and reads back when several tables are wanted, so that the samples are cut only once.
+    ``settle`` is applied to the cube before the tables branch off it: pass
+    :func:`holdspan.operators.settle.settled` when many are wanted, so that samples are cut once.
     """
     step, g = options.step, options.grouping
     cube = settle(grid.exposure_cube(samples, tz, step, keys))

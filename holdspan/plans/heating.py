@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +23,17 @@ def degree_day_report(
     tz: str | Column,
     options: HeatingOptions = HeatingOptions(),
     grains: tuple[str, ...] = ("month", "year", "record"),
+    settle: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> dict[str, DataFrame]:
     """Every table of the report.
 
     ``outside``: site_id and interval columns; ``inside``: the same with ``sensor``; ``totals``:
-    site_id, ts, total in kWh. Offsets are to be taken out of ``inside`` before.
+    site_id, ts, total in kWh. Offsets are to be taken out of ``inside`` before. ``settle`` is
+    applied where tables branch (day means, heating months, month hours); pass
+    :func:`holdspan.operators.settle.settled` when many of them are wanted.
     """
     cover = options.min_coverage
-    outside_days = degree.daily_means(outside, tz, SITE)
+    outside_days = settle(degree.daily_means(outside, tz, SITE))
     sensor_days = degree.daily_means(inside, tz, ("site_id", "sensor"))
     room_days = degree.group_days(sensor_days, rooms, cover)
     periods = degree.period_summary(outside_days, options, grains, SITE)
@@ -36,14 +41,14 @@ def degree_day_report(
 
     readings = meter.meter_readings(totals, SITE)
     months = meter.left_out(meter.month_energy(readings, outside_days, tz, options, SITE), SITE)
-    heating = meter.heating_energy(months, SITE)
+    heating = settle(meter.heating_energy(months, SITE))
     seasons = meter.efficiency(heating, SITE)
 
     outside_hours = heatloss.hourly_means(outside, cover, SITE)
     sensor_hours = heatloss.hourly_means(inside, cover, ("site_id", "sensor"))
     house = heatloss.house_hours(heatloss.group_hours(sensor_hours, rooms), rooms)
     hours = heatloss.degree_hours(house, outside_hours, tz, SITE)
-    counted = heatloss.heating_months(heating, hours, options, SITE)
+    counted = settle(heatloss.heating_months(heating, hours, options, SITE))
     losses = heatloss.heat_loss(counted, SITE)
 
     years = benchmark.sound_years(heating, SITE)
