@@ -75,7 +75,7 @@ def test_changes_only_across_chunks(spark):
     assert out == [(0.0, 1.0), (3.0 * day, 2.0), (9.0 * day, 1.0)]
 
 
-def by_reference_loop(start, end, zone):
+def hour_by_hour(start, end, zone):
     """Cut hour by hour, finding each cut anew from the wall clock."""
     out, at = [], start
     while at < end:
@@ -100,7 +100,7 @@ def test_hour_slices_over_clock_changes(spark, samples_of, zone):
         start = rng.choice(middles) + rng.randint(-30_000, 30_000)
         spans.append((start, start + rng.choice([1, 500, 3_600, 20_000, 90_000])))
     given = samples_of([(s, e, i) for i, (s, e) in enumerate(spans)])
-    want = sorted((i, *piece) for i, (s, e) in enumerate(spans) for piece in by_reference_loop(s, e, zone))
+    want = sorted((i, *piece) for i, (s, e) in enumerate(spans) for piece in hour_by_hour(s, e, zone))
     got = rows(I.hour_slices(given, zone), "value", "start_ts", "end_ts", "day", "hour")
     assert got == [(float(i), *rest) for i, *rest in want]
 
