@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdspan.operators.chunks import CHUNK, as_of, chunk_of, with_previous
-from holdspan.operators.intervals import changes_only
 
 # Words of an offset setting (inside a word) and of a measurement (whole words).
 OFFSET_WORDS = ("offset", "calibration", "kalibrierung", "versatz", "korrektur")
@@ -64,16 +63,18 @@ def match_settings(sensors: DataFrame, settings: DataFrame) -> DataFrame:
 
 def setting_intervals(history: DataFrame, keys: Sequence[str] = SETTING) -> DataFrame:
     """A setting's value over ``[from_ts, to_ts)``; its first value also holds before its time."""
-    steps = changes_only(history, "value", ("ts", "row_id"), keys)
     order = ["ts", "row_id"]
-    after = with_previous(steps, keys, order, ["ts"], "_next", backwards=True)
-    both = with_previous(after, keys, order, ["value"], "_before")
+    seen = with_previous(history, keys, order, ["value"], "_before")
+    # Rows between two changes repeat a value, so the row before a change holds the value before it.
+    before = F.col("_before.value")
+    steps = seen.filter(F.col("_before").isNull() | (before != F.col("value")))
+    both = with_previous(steps, keys, order, ["ts"], "_next", backwards=True)
     return both.select(
         *keys,
         F.when(F.col("_before").isNull(), F.lit(ALWAYS)).otherwise(F.col("ts")).cast("bigint").alias("from_ts"),
         F.coalesce(F.col("_next.ts"), F.lit(FOREVER)).cast("bigint").alias("to_ts"),
         F.col("ts").alias("changed_ts"),
-        F.col("_before.value").alias("before"),
+        before.alias("before"),
         F.col("value").alias("degrees"),
     )
 
