@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from holdspan.llm import tokencount, urlfilter
+from holdspan.llm import quality, tokencount, urlfilter
 from holdspan.llm.common import table
 
 QUERIES = {}
@@ -62,3 +62,45 @@ from split left join (select * from fit where k = 1) using (n)
 def op9(spark, sf_dir):
     """The url rules over all pages."""
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query(
+    "op3_quality_rules",
+    r"""
+with t as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+w as (select r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as worded,
+             len(string_split(text, chr(10))) as n_lines
+      from t),
+one as (select r, unnest(words) as word, generate_subscripts(words, 1) as i from w),
+three as (select r, i, word, lead(word, 1) over s as second, lead(word, 2) over s as third
+          from one window s as (partition by r order by i)),
+again as (select r, i, count(*) over (partition by r, word, second, third) as n from three where third is not null),
+places as (select distinct r, i + k as i from again, (values (0), (1), (2)) as o(k) where n > 1),
+covered as (select r, count(*) as n from places group by r),
+measures as (
+    select doc_id, cast(len(words) as bigint) as n_words,
+           length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
+           length(text) - length(translate(text, '#*$%&|<>', '')) as n_symbols,
+           cast(len(worded) - len(list_distinct(worded)) as bigint) as n_dup_lines,
+           coalesce(n, 0) as n_repeat_words,
+           cast(n_lines as bigint) as n_lines,
+           length(text) - length(replace(text, '!', '')) as n_marks,
+           cast(len(list_filter(words, lambda x: list_contains(string_split(
+               'the of and to in is that it for was on are as with be at by this have from or an not '
+               || 'le la les de des du et en un une est que qui dans pour sur pas par au avec '
+               || 'el los las y es del con para se lo como su '
+               || 'der die das und ist nicht ein eine zu von mit den dem im auf für sich', ' '), lower(x)))) as bigint)
+               as n_stop_words
+    from w left join covered using (r)),
+base as (select *, n_words < 50 or n_repeat_words * 100 > n_words * 50 as base_failed from measures)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_marks, n_stop_words, base_failed,
+       not base_failed and word_chars * 100 between n_words * 250 and n_words * 1500
+       and n_symbols * 100 <= n_words * 15 and n_marks * 100 <= n_words * 50
+       and n_dup_lines * 100 <= n_lines * 40 and n_stop_words * 100 >= n_words as kept
+from base
+""",
+)
+def op3(spark, sf_dir):
+    """Measures, base rules and verdict of every document."""
+    return quality.apply_rules(quality.measure(table(spark, sf_dir, "documents")))
