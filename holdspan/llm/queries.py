@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from holdspan.llm import quality, tokencount, urlfilter
+from holdspan.llm import quality, tokencount, toxicity, urlfilter
 from holdspan.llm.common import table
 
 QUERIES = {}
@@ -89,7 +89,7 @@ measures as (
            cast(len(list_filter(words, lambda x: list_contains(string_split(
                'the of and to in is that it for was on are as with be at by this have from or an not '
                || 'le la les de des du et en un une est que qui dans pour sur pas par au avec '
-               || 'el los las y es del con para se lo como su '
+               || 'el los las y una es del con para se lo como su '
                || 'der die das und ist nicht ein eine zu von mit den dem im auf für sich', ' '), lower(x)))) as bigint)
                as n_stop_words
     from w left join covered using (r)),
@@ -104,3 +104,10 @@ from base
 def op3(spark, sf_dir):
     """Measures, base rules and verdict of every document."""
     return quality.apply_rules(quality.measure(table(spark, sf_dir, "documents")))
+
+
+@query("op10_toxicity")
+def op10(spark, sf_dir):
+    """Toxicity of every document, learned from two thirds of the labels."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score_texts(docs, toxicity.train(docs, labels))
