@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from holdspan.llm import quality, tokencount, toxicity, urlfilter
+from holdspan.llm import mixing, packing, quality, tokencount, tokenout, toxicity, urlfilter
 from holdspan.llm.common import table
 
 QUERIES = {}
@@ -111,3 +111,61 @@ def op10(spark, sf_dir):
     """Toxicity of every document, learned from two thirds of the labels."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.score_texts(docs, toxicity.train(docs, labels))
+
+
+@query("op2_token_output")
+def op2(spark, sf_dir):
+    """Packed id matrices of all documents."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return tokenout.token_matrices(table(spark, sf_dir, "documents"), path, capacity=2048)
+
+
+@query("op5_packing")
+def op5(spark, sf_dir):
+    """Pieces of all documents in sequences of 2048 ids."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), path, capacity=2048, end_id=1)
+
+
+# Parts of a mixture in which twenty sources have one to four shares each.
+MIX_WEIGHTS = {f"src{k}": 1 + k % 4 for k in range(20)}
+
+
+@query(
+    "op7_mixing_sources",
+    """
+with recursive names as (
+    select ['rest', 'src0', 'src1', 'src10', 'src11', 'src12', 'src13', 'src14', 'src15', 'src16', 'src17', 'src18',
+            'src19', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8', 'src9'] as name,
+           [1, 1, 2, 3, 4, 1, 2, 3, 4, 1, 2, 3, 4, 3, 4, 1, 2, 3, 4, 1, 2] as w),
+edf(slot, done, best) as (
+    select -1, list_transform(w, lambda x: 0), 0::bigint from names
+    union all
+    select slot + 1, list_transform(done, lambda k, i: case when i = b then k + 1 else k end), b
+    from (select slot, done,
+                 list_sort(list_filter(
+                     list_transform(done, lambda k, i: {'due': cast(ceil((k + 1) * 51 / w[i]) as int), 'i': i,
+                                                        'ready': floor(k * 51 / w[i]), 'k': k}),
+                     lambda x: x.ready <= slot + 1 and x.k < w[x.i]))[1].i as b
+          from edf, names where slot < 50) q),
+plan as (
+    select name[best] as mix, w[best] as w, slot,
+           row_number() over (partition by best order by slot) - 1 as turn
+    from edf, names where slot >= 0),
+numbered as (
+    select doc_id, source, coalesce(n.mix, 'rest') as mix,
+           row_number() over (partition by coalesce(n.mix, 'rest') order by md5(cast(doc_id as varchar))) - 1 as nth
+    from documents left join (select distinct mix from plan) n on n.mix = source)
+select doc_id, source, cast(nth // 64 as bigint) as block, cast(nth % 64 as bigint) as inside_block,
+       cast(nth // 64 // w * 51 + slot as bigint) as slot,
+       cast(nth // 64 // w * 51 + floor(turn * 51 / w) as bigint) as release,
+       cast(nth // 64 // w * 51 + ceil((turn + 1) * 51 / w) as bigint) as deadline
+from numbered join plan on numbered.mix = plan.mix and nth // 64 % w = turn
+""",
+)
+def op7(spark, sf_dir):
+    """Slot of every document in the mixture."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    mixed = mixing.schedule(docs, MIX_WEIGHTS)
+    new = {"_block": "block", "_inside_block": "inside_block", "_slot": "slot", "_release": "release", "_deadline": "deadline"}
+    return mixed.withColumnsRenamed(new).drop("_mix")

@@ -19,7 +19,8 @@ SLICE = 256  # texts handled at once
 def frequent_lengths(docs: DataFrame, path: str, text: str = "text", sample: int = SAMPLE, most: int = FREQUENT) -> dict:
     """Token counts of the most frequent pieces of some texts.
 
-    Both bounds are parameters: ``sample`` texts are read and ``most`` pieces reach the driver.
+    Both bounds are parameters: about ``sample`` texts, drawn over the whole table, are cut up and
+    ``most`` pieces reach the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]):
@@ -31,7 +32,8 @@ def frequent_lengths(docs: DataFrame, path: str, text: str = "text", sample: int
                 [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"]
             )
 
-    some = docs.select(F.col(text).alias("text")).where("text is not null").limit(sample)
+    texts = docs.select(F.col(text).alias("text"))
+    some = texts.sample(min(1.0, sample / max(1, texts.count())), 7).where("text is not null")
     best = (
         some.mapInArrow(count, "piece string, n long")
         .groupBy("piece")

@@ -1,0 +1,14 @@
+import pytest
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="session")
+def documents(spark):
+    """Documents from (id, text) or (id, text, source)."""
+
+    def make(rows):
+        full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "src0", None if r[1] is None else len(r[1])) for r in rows]
+        return spark.createDataFrame(full, DOCUMENTS)
+
+    return make
