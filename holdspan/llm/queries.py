@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from holdspan.llm import mixing, packing, quality, tokencount, tokenout, toxicity, urlfilter
+from holdspan.llm import jaccard, mixing, packing, quality, tokencount, tokenout, toxicity, urlfilter
 from holdspan.llm.common import table
 
 QUERIES = {}
@@ -169,3 +169,9 @@ def op7(spark, sf_dir):
     mixed = mixing.schedule(docs, MIX_WEIGHTS)
     new = {"_block": "block", "_inside_block": "inside_block", "_slot": "slot", "_release": "release", "_deadline": "deadline"}
     return mixed.withColumnsRenamed(new).drop("_mix")
+
+
+@query("op4_jaccard_join")
+def op4(spark, sf_dir):
+    """Classes of documents whose 4-word n-grams are similar by 0.85 or more."""
+    return jaccard.similarity_classes(table(spark, sf_dir, "documents"), width=4, percent=85)

@@ -8,6 +8,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from llmfixtures import documents  # noqa: F401
+
 from holdspan.llm import encode, packing, tokencount, tokenout
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -84,7 +86,7 @@ def test_packing_loses_and_repeats_nothing(documents, tokenizer, rows, partition
     assert short <= 1
     want = defaultdict(list)
     for d, t in rows:
-        raw = encode.packed([*ids_of(tokenizer, t), 1])
+        raw = np.array([*ids_of(tokenizer, t), 1], "<u4").tobytes()
         want[d, len(raw) // 4].append(raw)
     assert {k: len(v) for k, v in want.items()}.keys() == of.keys()
     for key, raws in want.items():
