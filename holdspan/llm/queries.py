@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from holdspan.llm import jaccard, mixing, packing, quality, tokencount, tokenout, toxicity, urlfilter
+from holdspan.llm import jaccard, linededup, mixing, packing, quality, tokencount, tokenout, toxicity, urlfilter
 from holdspan.llm.common import table
 
 QUERIES = {}
@@ -175,3 +175,27 @@ def op7(spark, sf_dir):
 def op4(spark, sf_dir):
     """Classes of documents whose 4-word n-grams are similar by 0.85 or more."""
     return jaccard.similarity_classes(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+@query(
+    "op6_line_dedup",
+    r"""
+with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+lines as (select r, doc_id, unnest(string_split(text, chr(10))) as line,
+                 generate_subscripts(string_split(text, chr(10)), 1) as i from docs),
+keyed as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+shared as (select key, max(doc_id) as last_doc from keyed where length(key) >= 40
+           group by key having count(distinct doc_id) >= 5),
+judged as (select r, keyed.doc_id, i, line, coalesce(keyed.doc_id < last_doc, false) as gone
+           from keyed left join shared using (key))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from judged group by r, doc_id
+""",
+)
+def op6(spark, sf_dir):
+    """What line dedup leaves of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    new = {"_n_lines": "n_lines", "_n_dropped": "n_dropped", "_kept_sha256": "kept_sha256"}
+    return linededup.dedup_lines(docs).withColumnsRenamed(new).drop("text", "_kept")
