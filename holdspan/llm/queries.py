@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from holdspan.llm import jaccard, linededup, mixing, packing, quality, tokencount, tokenout, toxicity, urlfilter
+from holdspan.llm import jaccard, linededup, mixing, packing, quality, tokencount, tokenout, topk, toxicity, urlfilter
 from holdspan.llm.common import table
 
 QUERIES = {}
@@ -199,3 +199,25 @@ def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     new = {"_n_lines": "n_lines", "_n_dropped": "n_dropped", "_kept_sha256": "kept_sha256"}
     return linededup.dedup_lines(docs).withColumnsRenamed(new).drop("text", "_kept")
+
+
+@query(
+    "op1_top_k",
+    """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+    from embeddings
+    where vec_id is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+    select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as score
+    from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+ranked as (
+    select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+select query_id, rank, vec_id, cast(score as bigint) as score from ranked where rank <= 5
+""",
+)
+def op1(spark, sf_dir):
+    """The five best vectors for every fiftieth one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
