@@ -295,3 +295,19 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFr
         score.alias("score"),
         (score >= threshold).cast("int").alias("predicted"),
     )
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.full)
+    wa, wb, w0 = model.scale
+    limit = math.log(threshold / (1 - threshold))
+    place = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]):
+        scorer = _scorer(shared, "full")
+        for batch in batches:
+            pairs = (scorer.features(t.as_py()) for t in batch.column(place))
+            yield batch.filter(pa.array([a * wa + b * wb + w0 < limit for a, b in pairs], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
