@@ -1,6 +1,6 @@
 """Texts whose sets of word n-grams are similar, joined through parity sketches.
 
-A set of hashed n-grams is spread over B blocks of 64 bits; each n-gram flips one bit of its block. Two
+A set of hashed n-grams is spread over B blocks of bits; each n-gram flips one bit of its block. Two
 sketches then differ in at most as many bits, and so in at most as many blocks, as the sets differ in
 n-grams. Similar sets of s n-grams differ in at most t(s), so any t(s) + 1 blocks of a sketch hold one
 that is the same in both. Sets are joined on such blocks within bands of sizes; whole sketches, then
@@ -95,14 +95,31 @@ class Shape:
         return most + most // SPARE
 
 
-def sketch(hashes: np.ndarray, blocks: int) -> np.ndarray:
-    """``blocks`` words of 64 bits; the high bits of a hash choose the block, the low ones the bit."""
-    block = ((hashes >> U(32)) * U(blocks)) >> U(32)  # in order, as the hashes are
+def _flipped(flips: np.ndarray, hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exclusive or of each block's flips, and how many n-grams the block has.
+
+    The high bits of a hash choose the block; hashes are in order, and so are their blocks.
+    """
+    block = ((hashes >> U(32)) * U(blocks)) >> U(32)
     edges = np.searchsorted(block, np.arange(blocks + 1, dtype=U))
-    bits = np.append(U(1) << (hashes & U(63)), U(0))
-    out = np.bitwise_xor.reduceat(bits, np.minimum(edges[:-1], len(hashes)))
-    out[edges[:-1] == edges[1:]] = 0
-    return out
+    out = np.bitwise_xor.reduceat(np.append(flips, U(0)), np.minimum(edges[:-1], len(hashes)))
+    sizes = np.diff(edges)
+    out[sizes == 0] = 0
+    return out, sizes
+
+
+def block_words(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """A word for each block of 65,536 bits, and the block's n-grams.
+
+    So many bits keep small blocks apart that hold other n-grams. A block is not written out: its word
+    is the exclusive or of a number for each bit that is set, equal for equal blocks.
+    """
+    return _flipped(mix((hashes & U(0xFFFF)) + U(1)), hashes, blocks)
+
+
+def sketch(hashes: np.ndarray, blocks: int) -> bytes:
+    """The sketch with 16 bits a block, written out."""
+    return _flipped(U(1) << (hashes & U(15)), hashes, blocks)[0].astype(np.uint16).tobytes()
 
 
 def _node(hashes: np.ndarray) -> int:
@@ -142,7 +159,7 @@ def block_keys(docs: DataFrame, shape: Shape) -> DataFrame:
     """``key, ref`` for the blocks of every set: ref is the node, plus 1 where this block is a probe.
 
     A set in band k stands in the window of its own band, where it probes for sets that are not larger,
-    and in the next one, where larger sets find it. It probes with the blocks that hold most bits.
+    and in the next one, where larger sets find it. It probes with the blocks that hold most n-grams.
     """
     bounds = shape.bounds()
 
@@ -162,11 +179,11 @@ def block_keys(docs: DataFrame, shape: Shape) -> DataFrame:
             band = bisect_right(bounds, len(h))
             for window in (band, band + 1):
                 blocks = shape.blocks(bounds, window)
-                words = sketch(h, blocks)
+                words, sizes = block_words(h, blocks)
                 where = mix(np.arange(blocks, dtype=U) + (U(window) << U(32)))
                 ref = np.full(blocks, node, np.int64)
                 if window == band:
-                    probes = np.argsort(-np.bitwise_count(words).astype(np.int8), kind="stable")
+                    probes = np.argsort(-sizes, kind="stable")
                     ref[probes[: shape.apart(2 * len(h)) + 1]] += 1
                 keys.append(mix(words ^ where).view(np.int64))
                 refs.append(ref)
@@ -258,14 +275,9 @@ def _pairs(us: list, vs: list) -> pa.RecordBatch:
 
 
 def contents(docs: DataFrame, shape: Shape) -> DataFrame:
-    """``node, n, hashes, own, next``: whole sets, and their sketches folded to 16 bits a block."""
+    """``node, n, hashes, own, next``: whole sets, and their sketches in both windows."""
     bounds = shape.bounds()
 
-    def folded(h: np.ndarray, window: int) -> bytes:
-        words = sketch(h, shape.blocks(bounds, window))
-        words = words ^ (words >> U(32))
-        return (words ^ (words >> U(16))).astype(np.uint16).tobytes()
-
     def make(ids, texts, state):
         found = [h for h in (shingles(t, shape.width) for t in texts) if len(h)]
         bands = [bisect_right(bounds, len(h)) for h in found]
@@ -273,8 +285,8 @@ def contents(docs: DataFrame, shape: Shape) -> DataFrame:
             pa.array([_node(h) for h in found], pa.int64()),
             pa.array([len(h) for h in found], pa.int64()),
             pa.array([h.tobytes() for h in found], pa.binary()),
-            pa.array([folded(h, k) for h, k in zip(found, bands, strict=True)], pa.binary()),
-            pa.array([folded(h, k + 1) for h, k in zip(found, bands, strict=True)], pa.binary()),
+            pa.array([sketch(h, shape.blocks(bounds, k)) for h, k in zip(found, bands, strict=True)], pa.binary()),
+            pa.array([sketch(h, shape.blocks(bounds, k + 1)) for h, k in zip(found, bands, strict=True)], pa.binary()),
         ]
 
     names = ["node", "n", "hashes", "own", "next"]
