@@ -30,6 +30,8 @@ SLICE = 256  # texts handled at once
 WORDS_KEPT = 1_000_000  # word hashes in a worker's cache
 SPARE = 8  # one spare block for so many that are needed: a text then leaves its emptiest ones out
 FEW = 200_000  # nodes a task remembers as already sent
+MARKS = 1 << 25  # bits that mark wanted documents: 4 MB whatever the corpus
+PAGE = 32_768  # bits of one bitmap of Spark's
 
 U = np.uint64
 
@@ -274,12 +276,49 @@ def _pairs(us: list, vs: list) -> pa.RecordBatch:
     )
 
 
+def _places(doc_id) -> list:
+    """Page and bit within it for the hash of an id."""
+    place = F.pmod(F.xxhash64(doc_id), F.lit(MARKS))
+    return [F.floor(place / PAGE).alias("page"), (place % PAGE).alias("bit")]
+
+
+def _marks(doc_ids: DataFrame) -> np.ndarray:
+    """A bit for each document, by the hash of its id; they are set in Spark and bounded by ``MARKS``."""
+    pages = doc_ids.select(*_places("doc_id")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(MARKS // 8, np.uint8)
+    for row in pages.toLocalIterator():
+        at = row.page * PAGE // 8
+        out[at : at + PAGE // 8] = np.frombuffer(bytes(row.bits), np.uint8)
+    return out
+
+
+def marked(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ids are in ``doc_ids``, and a few others by chance; no text is shuffled."""
+    bits = docs.sparkSession.sparkContext.broadcast(_marks(doc_ids))
+
+    def run(batches):
+        table = bits.value
+        for batch in batches:
+            at = batch.column(2).to_numpy() * PAGE + batch.column(3).to_numpy()
+            good = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(good > 0)).select(["doc_id", "text"])
+
+    return docs.select("doc_id", "text", *_places("doc_id")).mapInArrow(run, "doc_id long, text string")
+
+
 def contents(docs: DataFrame, shape: Shape) -> DataFrame:
     """``node, n, hashes, own, next``: whole sets, and their sketches in both windows."""
     bounds = shape.bounds()
 
     def make(ids, texts, state):
-        found = [h for h in (shingles(t, shape.width) for t in texts) if len(h)]
+        sent = state.setdefault("sent", set())
+        found = []
+        for h in (shingles(t, shape.width) for t in texts):
+            if len(h) and _node(h) not in sent:
+                if len(sent) >= FEW:
+                    sent.clear()
+                sent.add(_node(h))
+                found.append(h)
         bands = [bisect_right(bounds, len(h)) for h in found]
         return [
             pa.array([_node(h) for h in found], pa.int64()),
@@ -357,11 +396,12 @@ def similarity_classes(
     docs = docs.where("doc_id is not null")
     members = cut(shared_blocks(block_keys(docs, shape)))
 
-    # One text stands for each set that shares a block with another one.
+    # One text stands for each set that shares a block with another one. A set may come from several
+    # tasks; pairs then repeat, which changes nothing.
     nodes = members.select("node").distinct()
     named = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     chosen = cut(named.join(nodes, "node", "left_semi"))
-    content = cut(contents(docs.join(chosen.select("doc_id"), "doc_id", "left_semi"), shape).dropDuplicates(["node"]))
+    content = cut(contents(marked(docs, chosen.select("doc_id")), shape))
 
     # Each set against the centre with which it shares most blocks.
     votes = members.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
