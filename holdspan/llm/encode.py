@@ -1,8 +1,9 @@
 """Token ids of whole texts through a cache of space-led pieces.
 
 A byte-level BPE tokenizer first cuts a text by a pattern in which a single space always starts a new
-pre-token, unless white space stands on both of its sides. So a text can be cut before such spaces
-and each piece encoded alone, with the same ids as the whole text; frequent pieces are encoded once.
+pre-token, unless white space stands on both of its sides; so does a punctuation mark after a letter or
+digit, and a line end that stands alone is one. So a text can be cut there and each piece encoded alone, with the same ids as the
+whole text; frequent pieces are encoded once.
 """
 
 from __future__ import annotations
@@ -15,13 +16,29 @@ import numpy as np
 
 RUN = re.compile(r"\s\s")
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
+# Letters that are letters in every version of Unicode; other scripts are cut at spaces alone.
+MARK = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ſ])(?=[.,;:!?])")
+BARE = "\x01"  # begins a piece that was not cut at a space
+LINE = f" {BARE}\n {BARE}"
 LONGEST = 200  # characters of a piece worth keeping
-MOST = 500_000  # pieces in a cache, about 100 MB
+TOGETHER = 200  # pieces encoded by one call
+MOST = 800_000  # pieces in a cache, about 150 MB
 
 
 def pieces(text: str) -> list[str]:
-    """The pieces; each but the first is to be led by the space that it was cut at."""
-    return SINGLE.split(text) if RUN.search(text) else text.split(" ")
+    """The pieces; each but the first is to be led by the space that it was cut at, or begins with ``BARE``."""
+    if BARE in text:  # very rare: one piece
+        return [text]
+    marked = MARK.sub(" " + BARE, text)
+    if RUN.search(text):
+        return SINGLE.split(marked)
+    # A line end without other white space beside it is a pre-token.
+    return marked.replace("\n", LINE).split(" ")
+
+
+def _whole(key: str) -> str:
+    """What to encode for a piece: a leading space or ``BARE`` stands for having no space before it."""
+    return key[1:] if key[:1] in (" ", BARE) else " " + key
 
 
 def load(path: str):
@@ -48,33 +65,55 @@ class PieceCache:
         self.most = most
         self.given = given or {}
         self.held = dict(self.given)
-        # A special token set between pieces tells where each one's ids end: one call for many pieces.
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.mark = next(((t.content, i) for i, t in added.items() if t.special), None)
-
-    def _encode_some(self, texts: list[str]) -> list[bytes]:
-        if self.mark is None:
-            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in found]
-        word, number = self.mark
-        found = self.tokenizer.encode_batch_fast([word.join(texts)], add_special_tokens=False)[0]
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        # Every character of a byte-level token stands for one byte.
+        self.widths = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        for token, number in vocab.items():
+            self.widths[number] = len(token)
+        self.special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _together(self, texts: list[str], between: str) -> list[bytes]:
+        """Ids of each text, from one call for all of them joined.
+
+        Tokens say how many bytes they stand for, which tells where each text ends; should a token reach
+        over an end, the texts are encoded one by one.
+        """
+        found = self.tokenizer.encode_batch_fast([between.join(texts)], add_special_tokens=False)[0]
         ids = np.array(found.ids, "<u4")
-        ends = np.flatnonzero(ids == number)
-        raw = ids.tobytes()
-        return [raw[i:j] for i, j in zip([0, *(4 * (ends + 1)).tolist()], [*(4 * ends).tolist(), len(raw)], strict=True)]
+        if len(ids) and ids.max() < len(self.widths):
+            after = np.cumsum(self.widths[ids])
+            gap = len(between)
+            ends = np.cumsum([len(t.encode()) + gap for t in texts]) - gap
+            starts = np.concatenate([[0], ends[:-1] + gap])
+            last = np.searchsorted(after, ends)
+            first = np.searchsorted(after, starts, "right")
+            exact = after[np.minimum(last, len(after) - 1)] == ends
+            exact &= (first == 0) | (after[first - 1] == starts)
+            if exact.all():
+                raw = ids.tobytes()
+                return [raw[4 * i : 4 * j + 4] for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+        return list(map(self._one, texts))
 
     def encode(self, keys: list[str]) -> dict:
-        """Values of the pieces; a leading space marks a piece that had none before it."""
-        out = {}
-        apart = [k for k in keys if self.mark and self.mark[0] in k]
-        keys = [k for k in keys if not (self.mark and self.mark[0] in k)] if apart else keys
-        for some in [[k] for k in apart] + [keys[at : at + 2_000] for at in range(0, len(keys), 2_000)]:
-            texts = [k[1:] if k[:1] == " " else " " + k for k in some]
-            if len(some) == 1:
-                ids = [np.array(self.tokenizer.encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()]
+        """Values of the pieces, keyed as in ``texts``."""
+        out, spaced, bare = {}, [], []
+        for key in keys:
+            if any(word in key for word in self.special):
+                out[key] = self.value(self._one(_whole(key)))
+            elif key[:1] not in (" ", BARE) and key:
+                spaced.append(key)
+            elif key[1:].isalnum():
+                bare.append(key)
             else:
-                ids = self._encode_some(texts)
-            out.update(zip(some, map(self.value, ids), strict=True))
+                out[key] = self.value(self._one(_whole(key)))
+        # A space starts a pre-token; between letters or digits a line end is one.
+        for some, between in ((spaced, ""), (bare, "\n")):
+            for at in range(0, len(some), TOGETHER):
+                part = some[at : at + TOGETHER]
+                out.update(zip(part, map(self.value, self._together(list(map(_whole, part)), between)), strict=True))
         return out
 
     def texts(self, texts: Iterable[str]) -> list[list]:

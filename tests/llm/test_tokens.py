@@ -14,7 +14,7 @@ from holdspan.llm import encode, packing, tokencount, tokenout
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ALPHABET = [" ", " ", " ", "\n", "\t", "a", "b", "'s", "'", "1", "é", ".", "!", "<|endoftext|>", " ", " ",
-            "\x1c", "\x85", "ab cd", "日", "​", "the ", "Word"]
+            "\x1c", "\x85", "ab cd", "日", "​", "the ", "Word", "a.", "é,", "\x01", "Ωx.", "7!"]
 
 
 def some_texts(n, longest=60, seed=1):
