@@ -8,6 +8,7 @@ whole text; frequent pieces are encoded once.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterable
@@ -138,15 +139,14 @@ class PieceCache:
         return rows
 
 
-_WORKER: dict[tuple, PieceCache] = {}
+_WORKER: dict[str, PieceCache] = {}
 
 
-def worker_cache(path: str, kind: str, given: dict | None = None) -> PieceCache:
-    """This worker's cache of piece lengths (``kind`` "n") or ids ("ids"); it outlives a task."""
-    cache = _WORKER.get((path, kind))
+def worker_cache(path: str, given: dict | None = None) -> PieceCache:
+    """This worker's cache of piece lengths; it outlives a task."""
+    cache = _WORKER.get(path)
     if cache is None:
-        _WORKER.clear()
-        cache = _WORKER[path, kind] = PieceCache(path, length if kind == "n" else bytes)
+        cache = _WORKER[path] = PieceCache(path, length)
     if given is not None and cache.given is not given:
         cache.given = given
         cache.held.update(given)
@@ -158,3 +158,70 @@ def length(ids: bytes) -> int:
     return len(ids) // 4
 
 
+
+
+# Characters whose classes are the same in every version of Unicode, so that both libraries below cut
+# a text at the same places.
+PLAIN = re.compile(r"[^\t\n\r -~¡-¬®-ſ‐-‧€]")
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary.
+
+    Printable characters of Latin-1 stand for themselves, the other bytes for characters from 256 on.
+    """
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{chr(b): b for b in shown}, **{chr(256 + i): b for i, b in enumerate(hidden)}}
+
+
+class TextEncoder:
+    """Ids of whole texts, as little-endian unsigned 32-bit numbers, without a cache.
+
+    The vocabulary and merges come from the tokenizer's file. Texts of plain characters without special
+    tokens go through a second library's encoder over the same vocabulary, which is several times
+    faster and gives the same ids; all others, and any file of another build, through the tokenizer.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = load(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = self._same_vocabulary()
+
+    def _same_vocabulary(self):
+        """An encoder by ranks, if the file is a byte-level BPE whose merges are in the order of its ids."""
+        import public_tokenizers
+        import tiktoken
+
+        spec = json.loads(self.tokenizer.to_str())
+        model, cutter = spec["model"], spec["pre_tokenizer"] or {}
+        plain = spec["normalizer"] is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex")
+        if model["type"] != "BPE" or not plain or cutter.get("add_prefix_space") or model.get("ignore_merges"):
+            return None
+        vocab = {t: i for t, i in model["vocab"].items() if t not in self.special}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if sorted(vocab.values()) != list(range(len(vocab))) or [vocab["".join(p)] for p in pairs] != list(
+            range(256, len(vocab))
+        ):
+            return None
+        byte = byte_alphabet()
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items()}
+        return tiktoken.Encoding(
+            "plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        )
+
+    def ids(self, text: str) -> bytes:
+        """The ids of a text."""
+        if self.fast is None or PLAIN.search(text) or any(word in text for word in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+
+_TEXTS: dict[str, TextEncoder] = {}
+
+
+def text_encoder(path: str) -> TextEncoder:
+    """This worker's encoder."""
+    if path not in _TEXTS:
+        _TEXTS[path] = TextEncoder(path)
+    return _TEXTS[path]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdspan.llm.common import cut
-from holdspan.llm.encode import worker_cache
+from holdspan.llm.encode import text_encoder
 
 WINDOWS = 32  # open sequences a task keeps
 FAN_IN = 16  # tasks whose leftovers are packed together
@@ -103,7 +103,7 @@ def rows_of(pieces: list[tuple], part: int, with_ids: bool, final: bool = False)
 
 def _first_pass(path: str, end_id: int, capacity: int, windows: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]):
-        cache = worker_cache(path, "ids")
+        encoder = text_encoder(path)
         packer, part = Packer(capacity, windows), TaskContext.get().partitionId()
         end = end_id.to_bytes(4, "little")
         schema = pa.schema(
@@ -118,9 +118,8 @@ def _first_pass(path: str, end_id: int, capacity: int, windows: int, with_ids: b
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 some = batch.slice(at, SLICE)
-                docs = some.column(0).to_pylist()
-                for doc, values in zip(docs, cache.texts([t or "" for t in some.column(1).to_pylist()]), strict=True):
-                    packer.add(doc, b"".join(values) + end)
+                for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    packer.add(doc, encoder.ids(text or "") + end)
                 yield batch_of(packer.leave())
         yield batch_of(packer.close())
 

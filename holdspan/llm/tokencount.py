@@ -62,7 +62,7 @@ def count_tokens(
     shared = docs.sparkSession.sparkContext.broadcast(given)
 
     def count(batches: Iterator[pa.RecordBatch]):
-        cache = worker_cache(path, "n", shared.value)
+        cache = worker_cache(path, shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdspan.llm.encode import worker_cache
+from holdspan.llm.encode import text_encoder
 
 SLICE = 128  # texts encoded at once
 BLOCK_TOKENS = 4_000_000  # ids that are packed together: 16 MB
@@ -135,7 +135,7 @@ def token_matrices(
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        cache = worker_cache(path, "ids")
+        encoder = text_encoder(path)
         end, task, made = end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
         held_docs: list = []
         held: list[bytes] = []
@@ -143,9 +143,8 @@ def token_matrices(
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 some = batch.slice(at, SLICE)
-                ids = cache.texts([t or "" for t in some.column(1).to_pylist()])
-                for doc, values in zip(some.column(0).to_pylist(), ids, strict=True):
-                    raw = b"".join(values) + end
+                for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    raw = encoder.ids(text or "") + end
                     held_docs.append(doc)
                     held.append(raw)
                     size += len(raw) // 4

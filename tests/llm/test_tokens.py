@@ -46,6 +46,16 @@ def test_pieces_have_the_ids_of_the_whole(tokenizer):
     assert len(cache.held) <= 200 + 4_000
 
 
+def test_whole_texts_have_the_same_ids(tokenizer):
+    encoder = encode.TextEncoder(PATH)
+    assert encoder.fast is not None
+    texts = [*some_texts(2_000, 40, 9), "x" * 50_000, " \n\n  é²½«… ", "it's we'll", "<|endoftext|>", "a<|endoftext|> b"]
+    for text in texts:
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == ids_of(tokenizer, text), repr(text)
+    encoder.fast = None
+    assert np.frombuffer(encoder.ids("plain text"), "<u4").tolist() == ids_of(tokenizer, "plain text")
+
+
 def test_counts(documents, tokenizer, rows):
     docs = documents(rows)
     got = tokencount.count_tokens(docs.withColumnRenamed("lang", "n_tokens"), PATH)
