@@ -95,36 +95,36 @@ def day_slices(fx):
     select site_id, series_id, row_id, floor(value / 2000) as value
     from (select *, lag(floor(value / 2000)) over (partition by site_id, series_id order by ts, row_id) as before,
                  row_number() over (partition by site_id, series_id order by ts, row_id) as n
-          from fx_readings where value is not null) q
-    where n = 1 or before <> floor(value / 2000)""")
+          from fx_readings) q
+    where n = 1 or before is distinct from floor(value / 2000)""")
 def changes_only(fx):
-    rows = fx.fx_readings.filter("value is not null").withColumn("value", F.floor(F.col("value") / 2000).cast("double"))
+    rows = fx.fx_readings.withColumn("value", F.floor(F.col("value") / 2000).cast("double"))
     return intervals.changes_only(rows).drop("ts")
 
 
 # ---- scalars ---------------------------------------------------------------------------------
 @query("bucket_index", """
-    select row_id, value, cast(case when value <= 0 then 0 else least(floor(value / 50), 60) end as int) as bucket
-    from (select row_id, round(value - 200, 6) as value from fx_readings where value is not null) q""")
+    select row_id, value, cast(case when value <= 0 then 0 when value > 0 then least(floor(value / 50), 60) end as bigint) as bucket
+    from (select row_id, round(value - 200, 6) as value from fx_readings) q""")
 def bucket_index(fx):
-    rows = fx.fx_readings.filter("value is not null").select("row_id", F.round(F.col("value") - 200, 6).alias("value"))
+    rows = fx.fx_readings.select("row_id", F.round(F.col("value") - 200, 6).alias("value"))
     return rows.withColumn("bucket", B.bucket_index(F.col("value"), STEP, F.lit(61)))
 
 
 @query("bucket_at_least", """
-    select row_id, value, cast(case when value <= 0 then 0 else least(ceil(value / 50), 60) end as int) as bucket
-    from (select row_id, round(value - 200, 6) as value from fx_readings where value is not null) q""")
+    select row_id, value, cast(case when value <= 0 then 0 when value > 0 then least(ceil(value / 50), 60) end as bigint) as bucket
+    from (select row_id, round(value - 200, 6) as value from fx_readings) q""")
 def bucket_at_least(fx):
-    rows = fx.fx_readings.filter("value is not null").select("row_id", F.round(F.col("value") - 200, 6).alias("value"))
+    rows = fx.fx_readings.select("row_id", F.round(F.col("value") - 200, 6).alias("value"))
     return rows.withColumn("bucket", B.bucket_at_least(F.col("value"), STEP, F.lit(61)))
 
 
 @query("probability_level", """
     select row_id, case when p > 0 and p >= 0.005 then cast(least(floor(power(least(p, 1), 0.6) * 10), 9) as int) end as level
-    from (select row_id, value / 9000.0::double as p from fx_readings where value is not null) q""")
+    from (select row_id, value / 9000.0::double as p from fx_readings) q""")
 def probability_level(fx):
     p = F.col("value") / 9000.0
-    return fx.fx_readings.filter("value is not null").select("row_id", B.probability_level(p).alias("level"))
+    return fx.fx_readings.select("row_id", B.probability_level(p).alias("level"))
 
 
 @query("level_edges", f"""

@@ -63,7 +63,10 @@ def of_sensor(fx):
 
 @query("apply_offset", f"""
     select s.site_id, s.sensor, greatest(start_ts, from_ts) as start_ts, least(end_ts, to_ts) as end_ts, {r('value + 0.5 * degrees')} as value
-    from thermometer_samples s join setting_spans p on p.site_id = s.site_id and least(end_ts, to_ts) > greatest(start_ts, from_ts)""")
+    from thermometer_samples s join setting_spans p on p.site_id = s.site_id and least(end_ts, to_ts) > greatest(start_ts, from_ts)
+    union all
+    select site_id, sensor, start_ts, end_ts, {r('value')} as value
+    from thermometer_samples where site_id not in (select site_id from setting_spans)""")
 def apply_offset(fx):
     return offset.apply_offset(samples(fx), of_sensor(fx), sign=-1, scale=0.5)
 

@@ -8,7 +8,8 @@ from checks.q_grid import JAN
 from checks.registry import part, query, r
 from holdspan.functions import values as V
 from holdspan.operators import intervals
-from holdspan.sources import catalog, normalise
+from holdspan.options import ReadOptions
+from holdspan.sources import catalog, load, normalise
 
 KEYS = ("site_id", "series_id")
 WHOLE = "cast(floor(epoch_us(ts) / 1000000.0::double) as bigint)"
@@ -180,6 +181,59 @@ def resolve_source(fx):
     return catalog.resolve_source(requests(fx), fx.fx_meta, fx.fx_statistics, fx.fx_short, fx.fx_states)
 
 
+part("resolved", """
+    select q.site_id, q.series_id, m.metadata_id, m.unit,
+           case when exists (select 1 from fx_statistics s where s.metadata_id = m.metadata_id) then 'statistics'
+                when exists (select 1 from fx_short s where s.metadata_id = m.metadata_id) then 'short_term'
+                when exists (select 1 from fx_states s where s.site_id = q.site_id and s.series_id = q.series_id) then 'states' else 'statistics' end as source
+    from requests q left join fx_meta m on m.site_id = q.site_id and m.series_id = q.series_id""")
+part("wanted_power", """
+    select *, case unit when 'kW' then 1000.0::double else 1.0::double end as scale
+    from resolved where unit is null or unit not in ('°C')""")
+part("loaded_power", f"""
+    with raw as (
+      select w.site_id, w.series_id, cast(s.start_ts as bigint) as start_ts, cast(s.start_ts as bigint) + 3600 as end_ts, s.mean as value
+      from fx_statistics s join wanted_power w using (metadata_id) where w.source = 'statistics' and s.mean is not null
+      union all
+      select w.site_id, w.series_id, cast(s.start_ts as bigint), cast(s.start_ts as bigint) + 300, s.mean
+      from fx_short s join wanted_power w using (metadata_id) where w.source = 'short_term' and s.mean is not null
+      union all
+      select site_id, series_id, sec, least(coalesce(nxt, sec + 900), sec + 900), value
+      from (select *, lead(sec) over (partition by site_id, series_id order by sec) as nxt
+            from (select s.site_id, s.series_id, cast(floor(ts) as bigint) as sec, arg_max({PARSED}, (ts, row_id)) as value,
+                         arg_max({PARSED} is null, (ts, row_id)) as gone
+                  from fx_states s join wanted_power w on w.site_id = s.site_id and w.series_id = s.series_id and w.source = 'states'
+                  group by all) a) b where not gone)
+    select r.site_id, r.series_id, greatest(start_ts, {JAN + 86400}) as start_ts, least(end_ts, {JAN + 20 * 86400}) as end_ts,
+           greatest(value * scale, 0) as value
+    from raw r join wanted_power w using (site_id, series_id)
+    where end_ts > {JAN + 86400} and start_ts < {JAN + 20 * 86400} and end_ts > start_ts""")
+
+
+def loaded(fx):
+    options = ReadOptions(from_ts=JAN + 86400, to_ts=JAN + 20 * 86400)
+    tables = (fx.fx_meta, fx.fx_statistics, fx.fx_short, fx.fx_states)
+    return load.load_samples(requests(fx), *tables, "power", options, clamp=True)
+
+
+@query("load_samples", f"select site_id, series_id, start_ts, end_ts, {r('value')} as value from loaded_power")
+def load_samples(fx):
+    return loaded(fx).samples
+
+
+@query("load_provenance", """
+    select w.site_id, w.series_id, source, unit, scale, 0.0::double as "offset", coalesce(n, 0) as samples, first_ts, last_ts
+    from wanted_power w left join (select site_id, series_id, count(*) as n, min(start_ts) as first_ts, max(end_ts) as last_ts
+                                   from loaded_power group by all) l using (site_id, series_id)""")
+def load_provenance(fx):
+    return loaded(fx).provenance
+
+
+@query("load_refused", "select site_id, series_id, source, unit from resolved where unit = '°C'")
+def load_refused(fx):
+    return loaded(fx).refused
+
+
 part("cat", """
     select m.site_id, m.series_id, m.unit, coalesce(rows, 0) as rows, coalesce(means, 0) as means, coalesce(sums, 0) as sums, first_ts, last_ts
     from fx_meta m left join (select metadata_id, count(*) as rows, count(mean) as means, count(sum) as sums,

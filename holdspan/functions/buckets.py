@@ -16,24 +16,24 @@ TICK_SLACK = 1e-9
 
 def bucket_count(max_value: Column, step: float) -> Column:
     """One bucket per step and an open one on top."""
-    return F.ceil(max_value / step).cast("int") + 1
+    return F.ceil(max_value / step).cast("bigint") + 1
 
 
 def raw_bucket(value: Column, step: float) -> Column:
     """Bucket by rounding down, before the open top bucket is applied."""
     usable = ~F.isnan(value) & (value > 0)
-    return F.when(usable, F.floor(value / step)).otherwise(F.lit(0)).cast("bigint")
+    return F.when(usable, F.floor(value / step)).when(value.isNotNull(), F.lit(0)).cast("bigint")
 
 
 def raw_bucket_up(value: Column, step: float) -> Column:
     """Bucket by rounding up, before the open top bucket is applied."""
     usable = ~F.isnan(value) & (value > 0)
-    return F.when(usable, F.ceil(value / step)).otherwise(F.lit(0)).cast("bigint")
+    return F.when(usable, F.ceil(value / step)).when(value.isNotNull(), F.lit(0)).cast("bigint")
 
 
 def top_clamped(bucket: Column, n_buckets: Column) -> Column:
     """Everything above the axis in its open top bucket."""
-    return F.least(bucket, (n_buckets - 1).cast("bigint")).cast("int")
+    return F.when(bucket.isNotNull(), F.least(bucket, (n_buckets - 1).cast("bigint")))
 
 
 def bucket_index(value: Column, step: float, n_buckets: Column) -> Column:
@@ -56,12 +56,13 @@ def probability_level(p: Column, levels: int = 10, gamma: float = 0.6, floor: fl
     gamma = gamma if gamma > 0 else 1.0
     shaped = F.pow(F.least(p, F.lit(1.0)), F.lit(gamma))
     level = F.least(F.floor(shaped * n), F.lit(n - 1)).cast("int")
-    return F.when((p > 0) & (p >= floor) & ~F.isnan(p), level)
+    return F.when((p > 0) & (p >= floor) & (p < float("inf")), level)
 
 
 def level_edges(levels: int = 10, gamma: float = 0.6) -> Column:
     """The probability each level starts at, as an array."""
     n = _levels(levels)
+    gamma = gamma if gamma > 0 else 1.0
     index = F.sequence(F.lit(0), F.lit(n - 1))
     return F.transform(index, lambda i: F.pow(i / F.lit(float(n)), F.lit(1.0 / gamma)))
 

@@ -21,34 +21,35 @@ FULL_DAY_SECONDS = 20 * 3_600
 def outages(samples: DataFrame, threshold: int = 86_400, keys: Sequence[str] = KEYS) -> DataFrame:
     """Holes of at least ``threshold`` seconds inside a series, overlaps merged first.
 
-    Each chunk is first reduced to spans whose inner holes are shorter than the threshold, then the
-    spans are compared across chunks: a series passes on at most one span per chunk and threshold.
+    A hole opens where an interval starts after everything before it has ended. Inside a day chunk that
+    end is a window over its rows; of earlier chunks one row each, their latest end, is carried on. So
+    a task holds a day of a series, or its calendar, whatever the threshold.
     """
     least = max(int(threshold), 1)
     real = samples.filter("end_ts > start_ts").select(*keys, "start_ts", "end_ts")
-
-    def holes(rows: DataFrame, part: Sequence[str]) -> DataFrame:
-        order = Window.partitionBy(*part).orderBy("start_ts", "end_ts")
-        before = order.rowsBetween(Window.unboundedPreceding, -1)
-        return rows.withColumn("_until", F.max("end_ts").over(before))
-
-    part = [*keys, "_chunk"]
-    marked = holes(real.withColumn("_chunk", chunk_of(F.col("start_ts"), CHUNK)), part)
-    opens = F.coalesce(F.col("start_ts") - F.col("_until") >= least, F.lit(False)).cast("int")
-    order = Window.partitionBy(*part).orderBy("start_ts", "end_ts")
-    spans = (
-        marked.withColumn("_span", F.sum(opens).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*part, "_span")
-        .agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
+    chunked = real.withColumn("_chunk", chunk_of(F.col("start_ts"), CHUNK))
+    ahead = (Window.unboundedPreceding, -1)
+    ends = (
+        chunked.groupBy(*keys, "_chunk")
+        .agg(F.max("end_ts").alias("_end"))
+        .select(
+            *keys,
+            "_chunk",
+            F.max("_end").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(*ahead)).alias("_carried"),
+        )
     )
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("start_ts", "end_ts").rowsBetween(*ahead)
+    seconds = F.col("start_ts") - F.col("_until")
     return (
-        holes(spans, keys)
-        .filter(F.col("start_ts") - F.col("_until") >= least)
+        chunked.withColumn("_before", F.max("end_ts").over(inside))
+        .join(ends, [*keys, "_chunk"])
+        .withColumn("_until", F.greatest("_before", "_carried"))
+        .filter(seconds >= least)
         .select(
             *keys,
             F.col("_until").alias("start_ts"),
             F.col("start_ts").alias("end_ts"),
-            (F.col("start_ts") - F.col("_until")).alias("seconds"),
+            seconds.alias("seconds"),
         )
     )
 

@@ -68,7 +68,10 @@ def group_days(days: DataFrame, rooms: DataFrame, min_coverage: float = 0.9) ->
     with several takes only covered days, keeps the largest coverage, and marks days on which some
     sensor fell short as ``partial``.
     """
-    joined = days.join(with_sensor_count(rooms).select("site_id", *ROOM, "sensor", "sensors"), ["site_id", "sensor"])
+    # Days come out of an explode, which size estimates do not see: they are never broadcast.
+    joined = days.hint("merge").join(
+        with_sensor_count(rooms).select("site_id", *ROOM, "sensor", "sensors"), ["site_id", "sensor"]
+    )
     used = joined.filter((F.col("sensors") == 1) | is_counted(min_coverage))
     return (
         used.groupBy("site_id", *ROOM, "day")
@@ -120,7 +123,7 @@ def period_summary(
     span = days.groupBy(*keys).agg(F.min("day").alias("_first"), F.max("day").alias("_last"))
     spine = span.select(*keys, F.explode(F.sequence("_first", "_last")).alias("day"))
     counted = degree_days(days.filter(is_counted(options.min_coverage)), options)
-    filled = spine.join(counted.select(*keys, "day", "mean", "hdd", "cdd"), [*keys, "day"], "left")
+    filled = spine.hint("merge").join(counted.select(*keys, "day", "mean", "hdd", "cdd"), [*keys, "day"], "left")
     return (
         _by_period(filled, grains)
         .groupBy(*keys, *PERIOD)
@@ -143,7 +146,7 @@ def room_means(
 ) -> DataFrame:
     """A room's mean per period, over its counted days that the outside counted too."""
     outside = outside_days.filter(is_counted(min_coverage)).select("site_id", "day")
-    both = room_days.filter(is_counted(min_coverage)).join(outside, ["site_id", "day"])
+    both = room_days.filter(is_counted(min_coverage)).hint("merge").join(outside, ["site_id", "day"])
     return (
         _by_period(both.select("site_id", *ROOM, "day", "mean"), grains)
         .groupBy("site_id", *PERIOD, *ROOM)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from holdspan import KEYS
 from holdspan.functions import buckets as B
 from holdspan.functions import calendar as C
+from holdspan.functions.values import finite
 from holdspan.operators.intervals import hour_slices
 
 # Hours that make a full day, and slack on a probability target.
@@ -23,12 +24,17 @@ PROBABILITY_SLACK = 1e-9
 HOURS = tuple(range(24))
 
 
+def _usable(samples: DataFrame) -> DataFrame:
+    """Intervals of some length with a finite value; one bad reading must not set an axis."""
+    return samples.filter((F.col("end_ts") > F.col("start_ts")) & finite(F.col("value")).isNotNull())
+
+
 def exposure_cube(
     samples: DataFrame, tz: str | Column, step: float, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Seconds and pieces per series, local day, hour and bucket, before any top is applied."""
     value = F.col("value")
-    usable = samples.filter((F.col("end_ts") > F.col("start_ts")) & ~F.isnan(value))
+    usable = _usable(samples)
     return (
         hour_slices(usable, tz)
         .select(
@@ -52,7 +58,7 @@ def axis_max(
     they lie, and only one row per step goes through the window.
     """
     share = min(max(quantile, 0.0), 1.0)
-    usable = samples.filter((F.col("end_ts") > F.col("start_ts")) & ~F.isnan("value"))
+    usable = _usable(samples)
     held = F.when(F.col("high") > 0, F.col("end_ts") - F.col("start_ts")).otherwise(F.lit(0))
     weights = (
         usable.withColumn("high", B.raw_bucket_up(F.col("value"), step))

@@ -66,8 +66,10 @@ def state_samples(
     Of the readings inside one second only the last can hold for any time, so the others are
     dropped by an aggregate that combines before the shuffle. A reading can only be ended by one
     at most ``max_gap`` later, so a chunk needs, beyond its own rows, just those of that margin:
-    they are sent to both chunks and no task ever needs a whole series. For the same reason both
-    time filters may go to the scan without changing any interval.
+    they are sent to both chunks and no task ever needs a whole series. Where the margin would be a
+    large part of the chunk, every chunk's first reading is handed to the chunk before it instead, and
+    a task still holds a day. For the same reason both time filters may go to the scan without
+    changing any interval.
     """
     if from_ts is not None:
         readings = readings.filter(F.col("ts") >= from_ts - max_gap)
@@ -80,17 +82,17 @@ def state_samples(
         .groupBy(*keys, "_at")
         .agg(F.max("_row").getField("value").alias("value"))
     )
-    width = max(CHUNK, max_gap)
-    own = chunk_of(F.col("_at"), width)
-    homes = F.when(F.col("_at") - own < max_gap, F.array(own, own - width)).otherwise(F.array(own))
-    placed = latest.withColumn("_chunk", F.explode(homes))
-    ordered = Window.partitionBy(*keys, "_chunk").orderBy("_at")
-    held = F.least(F.lead("_at").over(ordered), F.col("_at") + max_gap)
-    samples = (
-        placed.withColumn("end_ts", held)
-        .filter((chunk_of(F.col("_at"), width) == F.col("_chunk")) & F.col("value").isNotNull())
-        .select(*keys, F.col("_at").alias("start_ts"), "end_ts", "value")
-    )
+    if 4 * max_gap > CHUNK:
+        following = with_previous(latest, keys, ["_at"], ["_at"], "_next", backwards=True)
+        own_rows = following.withColumn("end_ts", F.least(F.col("_next._at"), F.col("_at") + max_gap))
+    else:
+        own = chunk_of(F.col("_at"), CHUNK)
+        homes = F.when(F.col("_at") - own < max_gap, F.array(own, own - CHUNK)).otherwise(F.array(own))
+        placed = latest.withColumn("_chunk", F.explode(homes))
+        ordered = Window.partitionBy(*keys, "_chunk").orderBy("_at")
+        held = F.least(F.lead("_at").over(ordered), F.col("_at") + max_gap)
+        own_rows = placed.withColumn("end_ts", held).filter(chunk_of(F.col("_at"), CHUNK) == F.col("_chunk"))
+    samples = own_rows.filter("value is not null").select(*keys, F.col("_at").alias("start_ts"), "end_ts", "value")
     return clip(samples, from_ts, to_ts)
 
 
@@ -119,10 +121,11 @@ def changes_only(
     order: Sequence[str] = ("ts", "row_id"),
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Rows whose value differs from the row before them in their series."""
+    """Rows whose value differs from the row before them in their series; NULL is a value of its own."""
     seen = with_previous(rows, keys, order, [value], "_previous")
     before = F.col(f"_previous.{value}")
-    return seen.filter(F.col("_previous").isNull() | (before != F.col(value))).drop("_previous")
+    changed = F.col("_previous").isNull() | ~before.eqNullSafe(F.col(value))
+    return seen.filter(changed).drop("_previous")
 
 
 def _pieces(samples: DataFrame, starts: Column, piece_end: Column) -> DataFrame:

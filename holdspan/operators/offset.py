@@ -91,7 +91,12 @@ def apply_offset(
 
     Both sides are laid out on day bins inside the span of the samples, joined on (sensor, bin), and
     a pair is kept only in the bin where its overlap begins: a busy sensor spreads over its days.
+    Samples of a sensor without a recorded setting are passed on as they are.
     """
+    intervals = intervals.filter("degrees is not null")
+    known = intervals.select(*keys).distinct()
+    samples = samples.filter("end_ts > start_ts")
+    untouched = samples.join(known, list(keys), "left_anti").select(*keys, "start_ts", "end_ts", "value")
     span = samples.groupBy(*keys).agg(F.min("start_ts").alias("_lo"), F.max("end_ts").alias("_hi"))
 
     def bins(start: Column, end: Column) -> Column:
@@ -108,13 +113,11 @@ def apply_offset(
         # The bins of a setting are many more rows than size estimates see: never broadcast them.
         .hint("merge")
     )
-    placed = samples.filter("end_ts > start_ts").withColumn(
-        "_bin", bins(F.col("start_ts"), F.col("end_ts"))
-    )
+    placed = samples.withColumn("_bin", bins(F.col("start_ts"), F.col("end_ts")))
     start = F.greatest("start_ts", "from_ts")
     end = F.least("end_ts", "to_ts")
     factor = sign if isinstance(sign, Column) else F.lit(float(sign))
-    return (
+    corrected = (
         placed.join(settings, [*keys, "_bin"])
         .filter((end > start) & (chunk_of(start, bin_seconds) == F.col("_bin")))
         .select(
@@ -124,6 +127,7 @@ def apply_offset(
             (F.col("value") - factor * F.lit(scale) * F.col("degrees")).alias("value"),
         )
     )
+    return corrected.unionByName(untouched)
 
 
 def judged_changes(

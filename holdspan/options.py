@@ -74,6 +74,11 @@ class GridOptions:
         _share("quantile", self.quantile)
         _share("probability", self.probability)
         _share("min_probability", self.min_probability)
+        _positive("min_days", self.min_days)
+        _positive("threshold", self.threshold)
+        _positive("gamma", self.gamma)
+        _require(3 <= self.levels <= 16, "levels must lie between 3 and 16")
+        _positive("probability", self.probability)
 
 
 @dataclass(frozen=True)
@@ -88,6 +93,9 @@ class StoreOptions:
     def __post_init__(self) -> None:
         _share("usable_fraction", self.usable_fraction)
         _share("round_trip", self.round_trip)
+        for name in ("max_charge_kw", "max_discharge_kw"):
+            if getattr(self, name) is not None:
+                _positive(name, getattr(self, name))
 
 
 @dataclass(frozen=True)
@@ -99,6 +107,11 @@ class Economics:
     cost_per_kwh: float = 500.0
     base_cost: float = 1500.0
 
+    def __post_init__(self) -> None:
+        for name in ("price_per_kwh", "feed_in_price", "cost_per_kwh", "base_cost"):
+            value = getattr(self, name)
+            _require(math.isfinite(value) and value >= 0, f"{name} must be a number not below zero, got {value}")
+
 
 @dataclass(frozen=True)
 class HeatingOptions:
@@ -110,3 +123,7 @@ class HeatingOptions:
 
     def __post_init__(self) -> None:
         _share("min_coverage", self.min_coverage)
+        for name in ("heating_base", "cooling_base"):
+            value = getattr(self, name)
+            _require(-50.0 <= value <= 50.0, f"{name} must lie between -50 and 50, got {value}")
+        _require(self.cooling_base >= self.heating_base, "cooling_base must not lie below heating_base")
