@@ -27,9 +27,9 @@ from holdspan.llm.common import cut
 from holdspan.llm.components import connected
 
 SLICE = 256  # texts handled at once
-WORDS_KEPT = 1_000_000  # word hashes in a worker's cache
+WORDS_KEPT = 250_000  # word hashes in a worker's cache: some 50 MB
 SPARE = 8  # one spare block for so many that are needed: a text then leaves its emptiest ones out
-FEW = 200_000  # nodes a task remembers as already sent
+FEW = 100_000  # nodes a task remembers as already sent
 MARKS = 1 << 25  # bits that mark wanted documents: 4 MB whatever the corpus
 PAGE = 32_768  # bits of one bitmap of Spark's
 
@@ -345,7 +345,8 @@ def _kept(pairs: DataFrame, test: Callable) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            good = [bool(test(row)) for row in batch.to_pylist()]
+            parts = (batch.slice(at, SLICE).to_pylist() for at in range(0, batch.num_rows, SLICE))
+            good = [bool(test(row)) for part in parts for row in part]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)).filter(pa.array(good, pa.bool_())) for c in "uv"], ["u", "v"]
             )
