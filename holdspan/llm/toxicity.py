@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from holdspan.llm.common import WHITE, WORD, cut
+from holdspan.llm.common import WORD, cut
 
 ORDER = 7  # characters of the longest n-gram
 DISCOUNT = 2.0  # taken from each count of a class: two sightings of an n-gram are no evidence
@@ -93,18 +93,15 @@ def backoff(counts: DataFrame) -> DataFrame:
     kinds = counts.groupBy(tail.alias("tail")).agg(F.count("*").alias("n"))
     kinds = kinds.withColumns({"before": F.expr("left(tail, length(tail) - 1)"), "last": F.expr("right(tail, 1)")})
     ones = kinds.groupBy("last").agg(F.count("*").alias("kinds_of_last"))
-    every = ones.agg(F.sum("kinds_of_last").alias("all_kinds"))
+    every = ones.agg(F.sum("kinds_of_last")).first()[0] or 1
     of = W.partitionBy("before")
     total, types = F.sum("n").over(of), F.count("*").over(of)
     d = SHARED_DISCOUNT
     return (
         kinds.join(ones, "last")
-        .join(F.broadcast(every))
         .select(
             "tail",
-            (
-                (F.col("n") - d) / total + d * types / total * F.col("kinds_of_last") / F.col("all_kinds")
-            ).alias("shared"),
+            ((F.col("n") - d) / total + d * types / total * F.col("kinds_of_last") / F.lit(every)).alias("shared"),
         )
     )
 
