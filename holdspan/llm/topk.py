@@ -22,6 +22,10 @@ EXACT = 2.0**53  # below it sums of whole numbers are exact as doubles
 LARGEST = 2**63 - 1
 
 
+def _floor(y):
+    return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)
+
+
 def whole(vectors: DataFrame, scale: float, vec_id: str, embedding: str) -> DataFrame:
     """``id, v``: components as ``floor(scale * x)``, doubles; vectors with a component that is no number are left out.
 
@@ -29,7 +33,8 @@ def whole(vectors: DataFrame, scale: float, vec_id: str, embedding: str) -> Data
     """
     x = F.col(embedding)
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
-    v = F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("double"))
+    # From 2^53 on a double is whole as it is, and may be beyond a long.
+    v = F.transform(x, lambda e: _floor(e.cast("double") * scale))
     rows = vectors.where(x.isNotNull() & F.col(vec_id).isNotNull() & finite)
     return rows.select(F.col(vec_id).cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
