@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdspan.llm.common import WHITE, ascii_lower, cut
@@ -99,20 +99,19 @@ class LineIndex:
 
     @property
     def refs(self) -> DataFrame:
-        """``h1, h2, doc_id`` of every reference that stands."""
+        """``h1, h2, doc_id, times`` of every reference that stands, and how often it was added."""
         schema = "h1 long, h2 long, doc_id long, change int"
         if not self.logs:
-            return self.spark.createDataFrame([], schema).drop("change")
+            return self.spark.createDataFrame([], schema).withColumnRenamed("change", "times")
         log = self.spark.read.schema(schema).parquet(*[f"{self.folder}/refs-{k}" for k in range(1, self.logs + 1)])
-        standing = log.groupBy(*KEY, "doc_id").agg(F.sum("change").alias("n")).where("n > 0")
-        return standing.drop("n")
+        return log.groupBy(*KEY, "doc_id").agg(F.sum("change").alias("times")).where("times > 0")
 
     def _shard(self):
         return F.pmod(F.shiftrightunsigned("h2", 20), F.lit(self.shards)).cast("int").alias("shard")
 
-    def _log(self, refs: DataFrame, change: int) -> DataFrame:
+    def _log(self, refs: DataFrame, change: Column) -> DataFrame:
         path = f"{self.folder}/refs-{self.logs + 1}"
-        refs.select(*KEY, "doc_id", F.lit(change).alias("change")).write.parquet(path)
+        refs.select(*KEY, "doc_id", change.cast("int").alias("change")).write.parquet(path)
         self.logs += 1
         return self.spark.read.parquet(path)
 
@@ -131,7 +130,7 @@ class LineIndex:
 
     def insert(self, docs: DataFrame) -> None:
         """Add the documents' lines; a document that is there already gains what is new."""
-        added = self._log(references(docs, self.min_chars).distinct(), 1)
+        added = self._log(references(docs, self.min_chars).distinct(), F.lit(1))
         batch = cut(self._count(added))
         looked_up = cut(_look_up(batch, self.filters))
         fresh = batch.join(looked_up.where("not seen"), ["shard", *KEY], "left_semi")
@@ -149,7 +148,7 @@ class LineIndex:
     def delete(self, doc_ids: DataFrame) -> None:
         """Take back all references of the documents in ``doc_ids`` (``doc_id``)."""
         gone = self.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-        touched = self._log(cut(gone), -1).select(*KEY).distinct() if self.logs else gone
+        touched = self._log(cut(gone), -F.col("times")).select(*KEY).distinct()
         again = self._count(self.refs.join(touched, KEY, "left_semi"))
         counts = cut(self.counts.join(touched, KEY, "left_anti").unionByName(again))
         lost = self.counts.join(counts.select(*KEY), KEY, "left_anti")
