@@ -48,12 +48,15 @@ def words_of(text: Column) -> Column:
 
 
 def sorted_windows(words: Column, n: Column, width: int = 3) -> Column:
-    """Windows of ``width`` words with their places, equal ones side by side; null without any."""
+    """Windows of ``width`` words with their places, equal ones side by side; null without any.
+
+    Arrays are only named outside of lambdas, here and below: a filter that the optimizer moves down
+    repeats these expressions, and must not do so for every word.
+    """
+    count = n.cast("int") - (width - 1)
+    side_by_side = F.arrays_zip(*[F.slice(words, k + 1, count) for k in range(width)])
     windows = F.transform(
-        F.sequence(F.lit(0), n.cast("int") - width),
-        lambda i: F.struct(
-            F.concat_ws(" ", *[F.get(words, i + k) for k in range(width)]).alias("w"), i.alias("i")
-        ),
+        side_by_side, lambda x, i: F.struct(F.concat_ws(" ", *[x[str(k)] for k in range(width)]).alias("w"), i.alias("i"))
     )
     return F.when(n >= width, F.sort_array(windows))
 
@@ -63,12 +66,13 @@ def covered_words(ordered: Column, width: int = 3) -> Column:
 
     A repeated window equals a neighbour in sorted order, so a text of n words costs n log n.
     """
-    again = F.filter(
-        ordered,
-        lambda x, k: F.get(ordered, k - 1)["w"].eqNullSafe(x["w"]) | F.get(ordered, k + 1)["w"].eqNullSafe(x["w"]),
-    )
-    places = F.flatten(F.transform(again, lambda x: F.array(*[x["i"] + k for k in range(width)])))
-    return F.coalesce(F.size(F.array_distinct(places)).cast("long"), F.lit(0).cast("long"))
+    size = F.size(ordered)
+    same = F.zip_with(F.slice(ordered, 1, size - 1), F.slice(ordered, 2, size - 1), lambda a, b: a["w"] == b["w"])
+    edge = F.array(F.lit(False))
+    again = F.zip_with(F.concat(edge, same), F.concat(same, edge), lambda a, b: a | b)
+    places = F.filter(F.zip_with(ordered, again, lambda x, y: F.when(y, x["i"])), lambda i: i.isNotNull())
+    covered = F.flatten(F.transform(places, lambda i: F.array(*[i + k for k in range(width)])))
+    return F.coalesce(F.when(size > 0, F.size(F.array_distinct(covered))).cast("long"), F.lit(0).cast("long"))
 
 
 def judge(rules: tuple[Rule, ...]) -> Column:
