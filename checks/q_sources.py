@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.q_grid import JAN
@@ -9,7 +12,7 @@ from checks.registry import part, query, r
 from holdspan.functions import values as V
 from holdspan.operators import intervals
 from holdspan.options import ReadOptions
-from holdspan.sources import catalog, load, normalise
+from holdspan.sources import catalog, load, normalise, sink
 
 KEYS = ("site_id", "series_id")
 WHOLE = "cast(floor(epoch_us(ts) / 1000000.0::double) as bigint)"
@@ -234,6 +237,15 @@ def load_refused(fx):
     return loaded(fx).refused
 
 
+@query("write_tables", f"select site_id, series_id, start_ts, end_ts, {r('value')} as value from loaded_power")
+def write_tables(fx):
+    """Loaded samples written to the shared folder and read back."""
+    shared = fx.spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    folder = f"{shared}/tables-{uuid.uuid4().hex}"
+    sink.write_tables({"samples": loaded(fx).samples}, folder)
+    return sink.read_table(fx.spark, folder, "samples")
+
+
 part("cat", """
     select m.site_id, m.series_id, m.unit, coalesce(rows, 0) as rows, coalesce(means, 0) as means, coalesce(sums, 0) as sums, first_ts, last_ts
     from fx_meta m left join (select metadata_id, count(*) as rows, count(mean) as means, count(sum) as sums,

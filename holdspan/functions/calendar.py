@@ -7,7 +7,6 @@ further part is integer arithmetic on them, so results do not depend on the sess
 from __future__ import annotations
 
 from datetime import datetime, timezone
-from functools import reduce
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
@@ -212,8 +211,3 @@ def slot_starts(start: Column, end: Column, width: int) -> Column:
     first = floor_to(start, width) + width
     tail = F.sequence(first, end - 1, F.lit(width).cast("bigint"))
     return F.when(first >= end, F.array(start)).otherwise(F.concat(F.array(start), tail))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    """Conjunction of any number of conditions."""
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

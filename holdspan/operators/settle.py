@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 
 
@@ -13,4 +15,6 @@ def settled(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        warnings.warn("spark.checkpoint.dir is not set: shared branches are computed again", stacklevel=2)
     return df.checkpoint() if folder else df

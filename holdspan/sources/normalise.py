@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdspan.functions.values import floor_timestamp, parse_timestamp
+from holdspan.functions.values import parse_timestamp
 
 # Time columns in order of preference, with whether they hold text.
 STATISTICS_TIME = (("start_ts", False), ("start", True))
@@ -84,8 +84,3 @@ def normalise_states(states: DataFrame, meta: DataFrame | None = None) -> DataFr
         )
         rows = rows.join(names, ["site_id", "metadata_id"])
     return rows.select("site_id", "series_id", "row_id", "ts", "state")
-
-
-def untimed(rows: DataFrame, ts: str = "ts") -> DataFrame:
-    """Rows whose time cannot be read: they give no reading but are still rows."""
-    return rows.filter(floor_timestamp(F.col(ts)).isNull())

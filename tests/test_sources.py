@@ -134,9 +134,15 @@ def test_id_patterns():
     assert catalog.id_patterns("ab") == ["ab"]
 
 
-def test_tables_are_written_by_site(spark, tmp_path):
-    df = spark.range(100).select((F.col("id") % 3).alias("site_id"), "id")
-    sink.write_tables({"numbers": df, "plain": df.drop("site_id")}, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/numbers").count() == 100
-    assert {p.name for p in (tmp_path / "numbers").iterdir() if p.is_dir()} == {f"site_id={i}" for i in range(3)}
-    assert spark.read.parquet(f"{tmp_path}/plain").count() == 100
+def test_tables_are_written_by_bucket_and_month(spark, tmp_path):
+    df = spark.range(100).select((F.col("id") % 30).alias("site_id"), (F.col("id") * 86_400).alias("start_ts"), "id")
+    sink.write_tables({"numbers": df, "plain": df.select("id")}, str(tmp_path), buckets=4)
+    again = sink.read_table(spark, str(tmp_path), "numbers")
+    assert rows(again, *df.columns) == rows(df, *df.columns)
+    assert len([p for p in (tmp_path / "numbers").iterdir() if p.is_dir()]) == 4
+    assert sink.read_table(spark, str(tmp_path), "plain").count() == 100
+    # A later load of one month leaves the others as they are.
+    later = df.filter("start_ts >= 31 * 86400 and start_ts < 59 * 86400").withColumn("id", -F.col("id"))
+    sink.write_tables({"numbers": later}, str(tmp_path), buckets=4)
+    both = sink.read_table(spark, str(tmp_path), "numbers")
+    assert both.count() == 100 and both.filter("id < 0").count() == 28
