@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable, Hashable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_HELD: dict = {}
+
+
+def held(name: Hashable, make: Callable):
+    """The one object that this Python worker keeps beyond a task, a cache or a model.
+
+    Workers outlive operators; asking for another one lets go of the last, so caches do not add up.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        pa.default_memory_pool().release_unused()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+TEXTS_AT_ONCE = 1_000
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """``docs``, whose rows are handed to Python in batches for long texts, some MB each.
+
+    The setting belongs to the session; one that is smaller already is kept.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= TEXTS_AT_ONCE:
+        conf.set(name, TEXTS_AT_ONCE)
+    return docs
+
+
 def ascii_lower(text: str) -> str:
     """A-Z in lower case, every other character as it is."""
     return text.lower() if text.isascii() else text.translate(LOWER)

@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
+from holdspan.llm.common import held
+
 RUN = re.compile(r"\s\s")
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
 # Letters that are letters in every version of Unicode; other scripts are cut at spaces alone.
@@ -139,14 +141,9 @@ class PieceCache:
         return rows
 
 
-_WORKER: dict[str, PieceCache] = {}
-
-
 def worker_cache(path: str, given: dict | None = None) -> PieceCache:
     """This worker's cache of piece lengths; it outlives a task."""
-    cache = _WORKER.get(path)
-    if cache is None:
-        cache = _WORKER[path] = PieceCache(path, length)
+    cache = held(("pieces", path), lambda: PieceCache(path, length))
     if given is not None and cache.given is not given:
         cache.given = given
         cache.held.update(given)
@@ -217,11 +214,6 @@ class TextEncoder:
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
-_TEXTS: dict[str, TextEncoder] = {}
-
-
 def text_encoder(path: str) -> TextEncoder:
     """This worker's encoder."""
-    if path not in _TEXTS:
-        _TEXTS[path] = TextEncoder(path)
-    return _TEXTS[path]
+    return held(("texts", path), lambda: TextEncoder(path))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdspan.llm.common import cut
+from holdspan.llm.common import cut, held, texts
 from holdspan.llm.components import connected
 
 SLICE = 256  # texts handled at once
@@ -51,9 +51,6 @@ class _Hashes(dict):
         return value
 
 
-_WORDS = _Hashes()
-
-
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams; a shorter text is one n-gram, an empty one none.
 
@@ -62,9 +59,10 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, U)
-    if len(_WORDS) > WORDS_KEPT:
-        _WORDS.clear()
-    h = np.fromiter(map(_WORDS.__getitem__, words), U, len(words))
+    known = held("word hashes", _Hashes)
+    if len(known) > WORDS_KEPT:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, words), U, len(words))
     width = min(width, len(words))
     n = len(h) - width + 1
     total = np.full(n, U(width))
@@ -130,7 +128,7 @@ def _node(hashes: np.ndarray) -> int:
 
 
 def _each_text(docs: DataFrame, make: Callable, schema: str, names: list[str]) -> DataFrame:
-    """Apply ``make(ids, texts)``, which gives columns, to slices of ``doc_id, text``."""
+    """Apply ``make(ids, texts, state)``, which gives columns, to slices of ``doc_id, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         state: dict = {}
@@ -392,7 +390,7 @@ def similarity_classes(
     Every link between different sets is either found or runs within a component that is already one.
     """
     shape = Shape(width, percent)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = texts(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = cut(sets_of(docs, shape))
     docs = docs.where("doc_id is not null")
     members = cut(shared_blocks(block_keys(docs, shape)))

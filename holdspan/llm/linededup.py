@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdspan.llm.common import WHITE, ascii_lower, cut
+from holdspan.llm.common import WHITE, ascii_lower, cut, texts
 from holdspan.llm.cuckoo import CuckooFilter
 
 MIN_CHARS = 40
@@ -59,7 +59,7 @@ def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(ids, pa.int64())], ["h1", "h2", "doc_id"]
                 )
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    narrow = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     return narrow.mapInArrow(run, "h1 long, h2 long, doc_id long")
 
 
@@ -236,8 +236,8 @@ def _without(docs: DataFrame, min_chars: int) -> DataFrame:
             for at in range(0, batch.num_rows, SLICE):
                 some = batch.slice(at, SLICE)
                 kept, lines, dropped = [], [], []
-                texts = some.column(some.schema.get_field_index("text")).to_pylist()
-                for text, drop in zip(texts, some.column(some.schema.get_field_index("_drop")).to_pylist(), strict=True):
+                given = some.column(some.schema.get_field_index("text")).to_pylist()
+                for text, drop in zip(given, some.column(some.schema.get_field_index("_drop")).to_pylist(), strict=True):
                     cut_up = (text or "").split("\n")
                     lines.append(len(cut_up))
                     if drop:
@@ -256,6 +256,7 @@ def _without(docs: DataFrame, min_chars: int) -> DataFrame:
                     [*names, "_kept", "_n_lines", "_n_dropped", "_kept_sha256"],
                 )
 
+    docs = texts(docs)
     fields = [f for f in docs.schema.fields if f.name != "_drop"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return docs.mapInArrow(run, schema + ", _kept string, _n_lines long, _n_dropped long, _kept_sha256 string")

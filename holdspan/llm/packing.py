@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdspan.llm.common import cut
+from holdspan.llm.common import cut, texts
 from holdspan.llm.encode import text_encoder
 
 WINDOWS = 32  # open sequences a task keeps
@@ -161,7 +161,7 @@ def pack(
     ``with_ids`` adds each piece's ids. A null or empty text is its ``end_id`` alone; null and repeated
     ids are packed each; an empty table gives no rows. Extra columns are not read.
     """
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    narrow = texts(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     level, groups = 0, narrow.rdd.getNumPartitions()
     packed = cut(narrow.mapInArrow(_first_pass(path, end_id, capacity, windows, with_ids), SCHEMA))
     done = [packed.where("not open").withColumn("level", F.lit(level))]

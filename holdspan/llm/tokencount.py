@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from holdspan.llm.common import texts
 from holdspan.llm.encode import LONGEST, PieceCache, length, pieces, worker_cache
 
 FREQUENT = 65_536  # pieces in the broadcast table: at most 13 M characters, a few MB in practice
@@ -32,8 +33,8 @@ def frequent_lengths(docs: DataFrame, path: str, text: str = "text", sample: int
                 [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"]
             )
 
-    texts = docs.select(F.col(text).alias("text"))
-    some = texts.sample(min(1.0, sample / max(1, texts.count())), 7).where("text is not null")
+    every = docs.select(F.col(text).alias("text"))
+    some = every.sample(min(1.0, sample / max(1, every.count())), 7).where("text is not null")
     best = (
         some.mapInArrow(count, "piece string, n long")
         .groupBy("piece")
@@ -66,17 +67,17 @@ def count_tokens(
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                tokens = [sum(row) for row in cache.texts(texts)]
+                whole = [t or "" for t in part.column(1).to_pylist()]
+                tokens = [sum(row) for row in cache.texts(whole)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.array([len(t.encode()) for t in texts], pa.int64()),
+                        pa.array([len(t.encode()) for t in whole], pa.int64()),
                         pa.array(tokens, pa.int64()),
                         pa.array([n > limit for n in tokens], pa.bool_()),
                     ],
                     ["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    narrow = texts(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return narrow.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

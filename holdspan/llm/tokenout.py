@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from holdspan.llm.common import texts
 from holdspan.llm.encode import text_encoder
 
 SLICE = 128  # texts encoded at once
@@ -87,10 +88,10 @@ SCHEMA = (
 )
 
 
-def _matrix(docs: list, texts: list[bytes], number: int, capacity: int, pad: int) -> pa.RecordBatch:
+def _matrix(docs: list, encoded: list[bytes], number: int, capacity: int, pad: int) -> pa.RecordBatch:
     """One packed matrix, a row of the result for each of its rows."""
     of, starts, ids = [], [], []
-    for doc, raw in zip(docs, texts, strict=True):
+    for doc, raw in zip(docs, encoded, strict=True):
         for at in range(0, len(raw), 4 * capacity):
             of.append(doc)
             starts.append(at // 4)
@@ -154,7 +155,7 @@ def token_matrices(
         if held:
             yield _matrix(held_docs, held, (task << 32) + made, capacity, pad_id)
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    narrow = texts(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return narrow.mapInArrow(run, SCHEMA)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from holdspan.llm.common import WORD, cut
+from holdspan.llm.common import WORD, cut, held, texts
 
 ORDER = 7  # characters of the longest n-gram
 DISCOUNT = 2.0  # taken from each count of a class: two sightings of an n-gram are no evidence
@@ -31,7 +31,7 @@ SHARE = 0.02  # of a toxic text's words that come from the toxic model
 MOST = 6.0  # nats that one word can add
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>"
 START, END, BLANK = "\x02", "\x03", "\x04"
-WORDS_KEPT = 400_000  # word scores in a worker's cache
+WORDS_KEPT = 200_000  # word scores in a worker's cache
 
 
 @dataclass(frozen=True)
@@ -59,9 +59,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .groupBy("id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null")
+    given = texts(docs).select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null")
     few = marks.limit(LABELS_AT_HAND + 1).count() <= LABELS_AT_HAND
-    joined = texts.join(F.broadcast(marks) if few else marks, "id")
+    joined = given.join(F.broadcast(marks) if few else marks, "id")
     fold = F.floor(F.crc32(F.col("id").cast("string")) / 3) % 2
     return joined.select("id", "text", "toxic", fold.cast("int").alias("fold"))
 
@@ -202,17 +202,10 @@ class Scorer:
         return total / len(raw), total / math.sqrt(len(raw))
 
 
-_WORKER: dict = {}
-
-
 def _scorer(shared: Broadcast, kind: str) -> Scorer:
     """One scorer a worker: its cache outlives a task."""
     table = shared.value
-    held = _WORKER.get(kind)
-    if held is None or held.table is not table:
-        _WORKER.clear()
-        held = _WORKER[kind] = Scorer(table)
-    return held
+    return held(("scorer", kind, id(table)), lambda: Scorer(table))
 
 
 def with_features(rows: DataFrame, shared: Broadcast, kind: str) -> DataFrame:
@@ -284,7 +277,7 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFr
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.full)
     wa, wb, w0 = model.scale
-    rows = with_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shared, "full")
+    rows = with_features(texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shared, "full")
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("a") * wa + F.col("b") * wb + w0)))
     return rows.select(
         "doc_id",
@@ -307,4 +300,4 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> Data
             pairs = (scorer.features(t.as_py()) for t in batch.column(place))
             yield batch.filter(pa.array([a * wa + b * wb + w0 < limit for a, b in pairs], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return texts(docs).mapInArrow(keep, docs.schema)
