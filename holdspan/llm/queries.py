@@ -89,7 +89,7 @@ measures as (
            cast(len(list_filter(words, lambda x: list_contains(string_split(
                'the of and to in is that it for was on are as with be at by this have from or an not '
                || 'le la les de des du et en un une est que qui dans pour sur pas par au avec '
-               || 'el los las y una es del con para se lo como su '
+               || 'el los las y una es del por con para se lo como su '
                || 'der die das und ist nicht ein eine zu von mit den dem im auf für sich', ' '), lower(x)))) as bigint)
                as n_stop_words
     from w left join covered using (r)),
