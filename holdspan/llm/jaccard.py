@@ -7,8 +7,9 @@ that is the same in both. Sets are joined on such blocks within bands of sizes;
 whole sets decide.
 
 Sets that are equal are one *node* from the start, so copies are never paired. A group of near copies
-is not paired out either: every node is first tested against one centre, and only members of a block
-that this has not brought together are compared with each other.
+is not paired out either: every node is first tested against one centre, then against the nearest node
+of each component that it still meets, and only near sketches that this has not brought together
+become pairs.
 """
 
 from __future__ import annotations
@@ -239,34 +240,59 @@ def shared_blocks(keys: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "key long, node long, probe long, centre long")
 
 
-def open_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """``u, v`` of nodes that share a probed block and lie in different components so far."""
+def open_pairs(rows: DataFrame, shape: Shape, best: bool) -> DataFrame:
+    """``u, v`` of nodes in a probed block that lie in different components so far and whose sketches are near.
+
+    With ``best``, a node is paired with its nearest one alone in each other component of the block.
+    """
+    bounds = shape.bounds()
 
     def run(batches):
-        for key, node, probe, n, root in _runs(batches, ["key", "node", "probe", "n", "root"]):
-            head = np.ones(len(key), bool)
-            head[1:] = key[1:] != key[:-1]
-            starts = np.flatnonzero(head)
+        for columns in _runs(batches, ["key", "node", "probe", "n", "root", "own", "next"]):
+            once = np.ones(len(columns[0]), bool)
+            once[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+            key, node, probe, n, root, own, following = (c[once] for c in columns)
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             ends = np.append(starts[1:], len(key))
-            mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
             us, vs = [], []
-            for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                if b - a < 2 or root[a:b].min() == root[a:b].max():
+                    continue
+                bands = np.array([bisect_right(bounds, x) for x in n[a:b].tolist()])
+                window = bands[probe[a:b] > 0].max()  # that of the sets which probe
+                raw = [own[i] if bands[i - a] == window else following[i] for i in range(a, b)]
+                if len({len(x) for x in raw}) > 1:  # equal keys of different windows, by chance: all pairs are tested
+                    us.append(np.repeat(node[a:b], b - a))
+                    vs.append(np.tile(node[a:b], b - a))
+                    continue
+                sketches = np.frombuffer(b"".join(raw), np.uint16).reshape(b - a, -1)
                 for i in range(a, b - 1):
                     j = slice(i + 1, b)
                     fit = (root[j] != root[i]) & ((probe[j] | probe[i]) > 0)
-                    fit &= 100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])
-                    other = node[j][fit]
-                    us.append(np.minimum(other, node[i]))
-                    vs.append(np.maximum(other, node[i]))
-                    if len(us) >= 10_000:
-                        yield _pairs(us, vs)
-                        us, vs = [], []
+                    fit &= 100 * np.minimum(n[j], n[i]) >= shape.percent * np.maximum(n[j], n[i])
+                    at = np.flatnonzero(fit) + i + 1
+                    bits = np.bitwise_count(sketches[at - a] ^ sketches[i - a]).sum(axis=1, dtype=np.int64)
+                    near = bits <= (100 - shape.percent) * (n[at] + n[i]) // (100 + shape.percent)
+                    at, bits = at[near], bits[near]
+                    if best and len(at) > 1:
+                        order = np.lexsort((bits, root[at]))
+                        at = at[order][np.concatenate([[True], np.diff(root[at][order]) != 0])]
+                    if len(at):
+                        us.append(np.minimum(node[at], node[i]))
+                        vs.append(np.maximum(node[at], node[i]))
             yield _pairs(us, vs)
 
-    ordered = members.repartition("key").sortWithinPartitions("key", "node")
+    ordered = rows.repartition("key").sortWithinPartitions("key", "node")
     return ordered.mapInArrow(run, "u long, v long").distinct()
 
 
+def _open_blocks(members: DataFrame, roots: DataFrame, content: DataFrame) -> DataFrame:
+    """Members of the blocks in which several components meet, with sizes and sketches."""
+    placed = members.select("key", "node", "probe").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return placed.join(several.select("key"), "key", "left_semi").join(content.select("node", "n", "own", "next"), "node")
+
+
 def _pairs(us: list, vs: list) -> pa.RecordBatch:
     empty = np.empty(0, np.int64)
     return pa.RecordBatch.from_arrays(
@@ -409,15 +435,15 @@ def similarity_classes(
     first = cut(similar(pairs, content, shape))
     roots = connected(first.toDF("a", "b"))
 
-    # Then whatever still lies in different components of one block.
-    labelled = (
-        members.select("key", "node", "probe")
-        .join(chosen.select("node", "n"), "node")
-        .join(roots, "node", "left")
-        .select("key", "node", "probe", "n", F.coalesce("root", "node").alias("root"))
-    )
-    second = cut(similar(open_pairs(labelled, percent), content, shape))
-    roots = connected(first.unionByName(second).toDF("a", "b"))
+    # Then each set against the nearest one of every other component that it meets in a block, and at last
+    # whatever is near and still lies in different components.
+    found = first
+    for best in (True, False):
+        pairs = open_pairs(_open_blocks(members, roots, content), shape, best)
+        more = cut(similar(pairs, content, shape))
+        if not more.isEmpty():
+            found = found.unionByName(more)
+            roots = connected(found.toDF("a", "b"))
 
     labelled = sets.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
     smallest = labelled.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
