@@ -24,7 +24,8 @@ from holdspan.llm.common import WORD, cut, held, texts
 ORDER = 7  # characters of the longest n-gram
 DISCOUNT = 2.0  # taken from each count of a class: two sightings of an n-gram are no evidence
 SHARED_DISCOUNT = 0.75
-BUCKETS = 1 << 22  # entries of the broadcast score table: two arrays of 16 MB whatever the corpus
+ENTRIES_AT_ONCE = 1 << 22  # entries of the score table that the driver fetches in one piece
+GRAMS_AT_ONCE = 1 << 16  # n-grams looked up together
 LABELS_AT_HAND = 500_000  # up to so many labels are sent to the tasks, beyond it both sides are shuffled
 CALIBRATION_ROWS = 50_000  # bound of the labelled rows from which the score's scale is fitted
 SHARE = 0.02  # of a toxic text's words that come from the toxic model
@@ -36,8 +37,9 @@ WORDS_KEPT = 200_000  # word scores in a worker's cache
 
 @dataclass(frozen=True)
 class Model:
-    """Score tables and the scale of the score."""
+    """Score tables, both in the order of the n-grams' sorted hashes, and the scale of the score."""
 
+    keys: np.ndarray
     full: np.ndarray
     half: np.ndarray
     scale: tuple[float, float, float]
@@ -107,7 +109,7 @@ def backoff(counts: DataFrame) -> DataFrame:
 
 
 def score_table(counts: DataFrame) -> DataFrame:
-    """For each bucket the log-likelihood ratios (all folds, fold 0 alone) of its most frequent n-gram.
+    """The log-likelihood ratios (all folds, fold 0 alone) of every n-gram, keyed by its 64-bit hash.
 
     A context has an entry too, for characters that neither class has seen after it: there the shared
     part cancels and only the classes' weights for falling back remain.
@@ -137,47 +139,74 @@ def score_table(counts: DataFrame) -> DataFrame:
     def ratio(a: str, b: str) -> Column:
         return (F.log(F.col(a)) - F.log(F.col(b))).cast("float")
 
-    def entries(key: Column, full: Column, half: Column, n: Column) -> DataFrame:
-        bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-        return each.select(bucket.alias("bucket"), F.struct(n.alias("n"), key.alias("key"), full.alias("full"), half.alias("half")).alias("e"))
+    def entries(rows: DataFrame, key: Column, full: Column, half: Column) -> DataFrame:
+        return rows.select(F.xxhash64(key).alias("key"), full.alias("full"), half.alias("half"))
 
-    grams = entries(F.col("gram"), ratio("p_t", "p_o"), ratio("p_t0", "p_o0"), F.col("t") + F.col("o"))
+    grams = entries(each, F.col("gram"), ratio("p_t", "p_o"), ratio("p_t0", "p_o0"))
+    once = each.dropDuplicates(["context"])
     contexts = entries(
-        F.concat("context", F.lit(BLANK)), ratio("fall_t", "fall_o"), ratio("fall_t0", "fall_o0"),
-        F.col("all_t") + F.col("all_o"),
-    )
-    return (
-        grams.unionByName(contexts)
-        .groupBy("bucket")
-        .agg(F.max("e").alias("e"))
-        .select("bucket", "e.full", "e.half")
+        once, F.concat("context", F.lit(BLANK)), ratio("fall_t", "fall_o"), ratio("fall_t0", "fall_o0")
     )
+    return grams.unionByName(contexts)
+
+
+def fetched(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``keys, full, half`` of the whole table by rising key, fetched in pieces by the key's first bits."""
+    n = table.count()
+    keys, full, half = np.empty(n, np.int64), np.empty(n, np.float32), np.empty(n, np.float32)
+    bits, start = max(1, (n // ENTRIES_AT_ONCE).bit_length()), 0
+    for piece in range(-(1 << bits - 1), 1 << bits - 1):
+        found = table.where(F.shiftright("key", 64 - bits) == piece).toArrow()
+        key, end = found["key"].to_numpy(), start + found.num_rows
+        order = np.argsort(key)
+        keys[start:end] = key[order]
+        full[start:end], half[start:end] = found["full"].to_numpy()[order], found["half"].to_numpy()[order]
+        start = end
+    return keys, full, half
 
 
 class Scorer:
     """Scores words by a table and remembers them, within a bound."""
 
-    def __init__(self, table: np.ndarray):
-        self.table = table
+    def __init__(self, table: tuple[np.ndarray, np.ndarray]):
+        self.keys, self.ratios = table
         self.words: dict[str, float] = {}
 
-    def word(self, raw: str) -> float:
-        """Damped log-likelihood ratio of one word: a toxic text is ordinary but for a share of its words."""
-        spelled = raw.lower().strip(EDGES)
-        if not spelled:
-            return 0.0
-        s = START + spelled + END
-        total = 0.0
-        table, digest = self.table, xxhash.xxh64_intdigest
-        for i in range(1, len(s)):
-            gram = s[max(0, i - ORDER + 1) : i + 1]
-            value = table[digest(gram.encode(), 42) & (BUCKETS - 1)]
-            if value != value:  # no such n-gram
-                value = table[digest((gram[:-1] + BLANK).encode(), 42) & (BUCKETS - 1)]
-                if value != value:
-                    continue
-            total += float(value)
-        return min(MOST, math.log1p(SHARE * math.expm1(min(total, 30.0))))
+    def find(self, grams: list[str]) -> np.ndarray:
+        """The ratio of each n-gram, NaN for one that is not in the table."""
+        digest = xxhash.xxh64_intdigest
+        want = np.fromiter((digest(g.encode(), 42) for g in grams), np.uint64, len(grams)).view(np.int64)
+        if not len(self.keys):
+            return np.full(len(grams), np.nan)
+        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+        return np.where(self.keys[at] == want, self.ratios[at].astype(np.float64), np.nan)
+
+    def scores(self, raw: list[str]) -> list[float]:
+        """Damped log-likelihood ratio of each word: a toxic text is ordinary but for a share of its words."""
+        totals = np.zeros(len(raw))
+        grams: list[str] = []
+        of: list[int] = []
+
+        def add_up():
+            values = self.find(grams)
+            lost = np.flatnonzero(np.isnan(values))  # no such n-gram
+            values[lost] = self.find([grams[i][:-1] + BLANK for i in lost])
+            np.add.at(totals, of, np.nan_to_num(values))
+            grams.clear()
+            of.clear()
+
+        for k, w in enumerate(raw):
+            spelled = w.lower().strip(EDGES)
+            if not spelled:
+                continue
+            s = START + spelled + END
+            for i in range(1, len(s)):
+                grams.append(s[max(0, i - ORDER + 1) : i + 1])
+                of.append(k)
+                if len(grams) == GRAMS_AT_ONCE:
+                    add_up()
+        add_up()
+        return np.minimum(MOST, np.log1p(SHARE * np.expm1(np.minimum(totals, 30.0)))).tolist()
 
     def features(self, text: str | None) -> tuple[float, float]:
         """Sum of the words' scores by their number, and by its root."""
@@ -187,17 +216,12 @@ class Scorer:
         known = self.words
         values = list(map(known.get, raw))
         if None in values:
+            new = list({w: None for w, v in zip(raw, values) if v is None})
+            fresh = dict(zip(new, self.scores(new)))
+            values = [fresh[w] if v is None else v for w, v in zip(raw, values)]
             if len(known) > WORDS_KEPT:
                 known.clear()
-            for i, v in enumerate(values):
-                if v is None:
-                    w = raw[i]
-                    v = known.get(w)
-                    if v is None:
-                        v = self.word(w)
-                        if len(w) <= 100:
-                            known[w] = v
-                    values[i] = v
+            known.update((w, v) for w, v in fresh.items() if len(w) <= 100)
         total = sum(values)
         return total / len(raw), total / math.sqrt(len(raw))
 
@@ -249,24 +273,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Counts of all labelled rows outside the held-out third, and a scale fitted on one fold.
 
-    The scale is fitted on texts of fold 1 with the model of fold 0, which has not seen them. What
-    reaches the driver is bounded: the score table has at most ``BUCKETS`` rows, the calibration
-    ``CALIBRATION_ROWS``.
+    The scale is fitted on texts of fold 1 with the model of fold 0, which has not seen them. The score
+    table reaches the driver whole, with 16 bytes for every n-gram and context; the calibration is
+    bounded by ``CALIBRATION_ROWS``.
     """
     spark = docs.sparkSession
     rows = training_rows(docs, labels)
-    found = score_table(cut(gram_counts(rows))).toArrow()
-    tables = {}
-    for name in ("full", "half"):
-        tables[name] = np.full(BUCKETS, np.nan, np.float32)
-        tables[name][found["bucket"].to_numpy()] = found[name].to_numpy()
-    shared = spark.sparkContext.broadcast(tables["half"])
+    keys, full, half = fetched(cut(score_table(cut(gram_counts(rows)))))
+    shared = spark.sparkContext.broadcast((keys, half))
     some = rows.where("fold = 1").select("id", "toxic", "text")
     some = with_features(some, shared, "half").orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).toArrow()
     x = np.column_stack([some["a"].to_numpy(), some["b"].to_numpy()]).reshape(-1, 2)
     scale = logistic(x, some["toxic"].to_numpy().astype(float))
     shared.unpersist()
-    return Model(tables["full"], tables["half"], scale)
+    return Model(keys, full, half, scale)
 
 
 def score_texts(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -275,7 +295,7 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFr
     A null or empty text has no words and gets the score of no evidence; a null id is kept and is not
     held out; repeated rows are scored each. Only ids and texts are read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model.full)
+    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.full))
     wa, wb, w0 = model.scale
     rows = with_features(texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shared, "full")
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("a") * wa + F.col("b") * wb + w0)))
@@ -289,7 +309,7 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFr
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score below ``threshold``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.full)
+    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.full))
     wa, wb, w0 = model.scale
     limit = math.log(threshold / (1 - threshold))
     place = docs.columns.index("text")

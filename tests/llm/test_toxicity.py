@@ -1,6 +1,8 @@
 """Held-out accuracy of the toxicity models, and what they do with odd rows."""
 
+import math
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -52,3 +54,63 @@ def test_no_documents_or_labels(documents, spark):
     for docs in (documents([]), documents([(1, "some text"), (2, "other")])):
         model = toxicity.train(docs, labels)
         assert toxicity.score_texts(docs, model).count() == docs.count()
+
+
+def by_dictionary(rows):
+    """Ratio of every n-gram and context of (text, toxic) rows, from plain dictionaries."""
+    counts = defaultdict(Counter)
+    for text, toxic in rows:
+        for raw in set(toxicity.WORD.findall(text.lower())):
+            word = raw.strip(toxicity.EDGES)
+            s = toxicity.START + word + toxicity.END
+            for i in range(1, len(s) if word else 0):
+                counts[s[max(0, i - 6) : i + 1]][toxic] += 1
+    kinds = Counter(g[-3:] for g in counts)
+    last, before, types = Counter(t[-1] for t in kinds), Counter(), Counter()
+    for tail, n in kinds.items():
+        before[tail[:-1]] += n
+        types[tail[:-1]] += 1
+    every, off = defaultdict(Counter), defaultdict(Counter)
+    for gram, n in counts.items():
+        for k in (0, 1):
+            every[gram[:-1]][k] += n[k]
+            off[gram[:-1]][k] += min(n[k], toxicity.DISCOUNT)
+    d, out = toxicity.SHARED_DISCOUNT, {}
+    for context, n in every.items():
+        fall = [off[context][k] / n[k] if n[k] else 1.0 for k in (0, 1)]
+        out[context + toxicity.BLANK] = math.log(fall[1] / fall[0])
+    for gram, n in counts.items():
+        tail, of = gram[-3:], every[gram[:-1]]
+        low = (kinds[tail] - d + d * types[tail[:-1]] * last[tail[-1]] / len(kinds)) / before[tail[:-1]]
+        fall = [off[gram[:-1]][k] / of[k] if of[k] else 1.0 for k in (0, 1)]
+        p = [(max(n[k] - toxicity.DISCOUNT, 0) / of[k] if of[k] else 0) + fall[k] * low for k in (0, 1)]
+        out[gram] = math.log(p[1] / p[0])
+    return out
+
+
+def test_every_ngram_is_kept_and_none_answers_for_another(tables, model):
+    docs, labels = tables
+    known = by_dictionary([(r.text, r.toxic) for r in toxicity.training_rows(docs, labels).collect()])
+    scorer = toxicity.Scorer((model.keys, model.full))
+    grams = sorted(known)
+    assert len(model.keys) == len(grams) and np.allclose(scorer.find(grams), [known[g] for g in grams], atol=1e-4)
+    unseen = [g for g in (g[:-1] + c for g in grams[::50] for c in "qzx7") if g not in known]
+    assert len(unseen) > 1_000 and np.isnan(scorer.find(unseen)).all()
+
+
+def test_the_table_is_the_same_in_more_pieces(documents, spark, monkeypatch):
+    docs = documents([(i, f"word{i} other{i % 7} again") for i in range(60)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    whole = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "ENTRIES_AT_ONCE", 50)
+    pieces = toxicity.train(docs, labels)
+    assert len(whole.keys) > 150 and (np.diff(whole.keys) > 0).all()
+    assert all(np.array_equal(getattr(whole, k), getattr(pieces, k)) for k in ("keys", "full", "half"))
+
+
+def test_a_long_word_is_looked_up_in_slices(model, monkeypatch):
+    scorer = toxicity.Scorer((model.keys, model.full))
+    words = ["idiot", "x" * 5_000, "...", "worthless"]
+    whole = scorer.scores(words)
+    monkeypatch.setattr(toxicity, "GRAMS_AT_ONCE", 7)
+    assert np.allclose(scorer.scores(words), whole) and whole[2] == 0.0
