@@ -116,6 +116,22 @@ TEXT = {
                {WHOLE} as ts, cast(floor(value / 3) as int) % 4 - cast(1.5 as double) as value
         from {events} where event_type = 'error' and user_id % 6 < 5""",
 }
+# Whole tables in place of the fixtures above that leave rows out. An error ends what both directions hold.
+WHOLE = {
+    "fx_grid": """
+        select user_id % 3 as site_id,
+               case when event_type in ('view', 'click') then 'import' else 'export' end as role,
+               event_id as row_id, {EP} as ts, value * 20 as value
+        from {events} where event_type <> 'error'
+        union all
+        select user_id % 3, 'import', event_id, {EP}, cast(null as double) from {events} where event_type = 'error'
+        union all
+        select user_id % 3, 'export', event_id, {EP}, cast(null as double) from {events} where event_type = 'error'""",
+    "fx_statistics": TEXT["fx_statistics"].replace("where user_id % 25 < 15 ", ""),
+    "fx_short": TEXT["fx_short"].replace("where user_id % 25 < 20 ", ""),
+    "fx_states": TEXT["fx_states"].replace("where e.user_id % 25 < 23", ""),
+    "fx_settings": TEXT["fx_settings"].replace("where event_type = 'error' and user_id % 6 < 5", ""),
+}
 # The same total with a change of meter (a fall) and a stretch without readings (unchanged months).
 TEXT["fx_meter_flawed"] = (
     "select site_id, ts, case when ts >= 930000000 then total - 15000 else total end as total from ("
@@ -148,9 +164,9 @@ DUCK["STR"] = "varchar"
 TABLES = ("events", "orders", "nation", "supplier", "lineitem")
 
 
-def duck(name: str) -> str:
+def duck(name: str, text: str | None = None) -> str:
     """A fixture as a SELECT for the oracle."""
-    return _fill(TEXT[name], DUCK, {t: t for t in TABLES})
+    return _fill(text or TEXT[name], DUCK, {t: t for t in TABLES})
 
 
 # The five order priorities as rooms on two floors.
@@ -187,8 +203,8 @@ def rooms_sql(rooms=ROOMS) -> str:
 class Fixtures:
     """The adapters over one scale factor's tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, other: dict[str, str] | None = None):
+        self.spark, self.sf_dir, self.texts = spark, sf_dir, TEXT | (other or {})
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -196,7 +212,7 @@ class Fixtures:
     def __getattr__(self, name: str) -> DataFrame:
         if not name.startswith("fx_"):
             raise AttributeError(name)
-        text = _fill(TEXT[name], SPARK, {})
+        text = _fill(self.texts[name], SPARK, {})
         used = {t: self.table(t) for t in TABLES if "{" + t + "}" in text}
         return self.spark.sql(text, **used)
 

@@ -214,7 +214,7 @@ part("loaded_power", f"""
 
 
 def loaded(fx):
-    options = ReadOptions(from_ts=JAN + 86400, to_ts=JAN + 20 * 86400)
+    options = getattr(fx, "options", ReadOptions(from_ts=JAN + 86400, to_ts=JAN + 20 * 86400))
     tables = (fx.fx_meta, fx.fx_statistics, fx.fx_short, fx.fx_states)
     return load.load_samples(requests(fx), *tables, "power", options, clamp=True)
 

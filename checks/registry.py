@@ -19,6 +19,7 @@ PLACES = 6
 CTES: dict[str, str] = {name: duck(name) for name in TEXT}
 CTES["dim_rooms"] = rooms_sql()
 CTES["dim_shared"] = rooms_sql(SHARED_ROOMS)
+GIVEN: dict[str, tuple] = {}  # what each query was registered with
 
 
 def part(name: str, sql: str) -> None:
@@ -26,19 +27,20 @@ def part(name: str, sql: str) -> None:
     CTES[name] = sql
 
 
-def _needed(sql: str, seen: list[str]) -> list[str]:
-    for name in CTES:
+def _needed(sql: str, seen: list[str], parts: dict[str, str]) -> list[str]:
+    for name in parts:
         if name not in seen and re.search(rf"\b(?:from|join)\s+{name}\b", sql):
-            _needed(CTES[name], seen)
+            _needed(parts[name], seen, parts)
             if name not in seen:
                 seen.append(name)
     return seen
 
 
-def oracle(sql: str, recursive: str = "") -> str:
-    """A SELECT with the parts it needs."""
-    names = _needed(sql + recursive, [])
-    parts = [f"{n} as materialized ({CTES[n]})" for n in names]
+def oracle(sql: str, recursive: str = "", other: dict[str, str] | None = None) -> str:
+    """A SELECT with the parts it needs; ``other`` stands in for parts of the same name."""
+    ctes = CTES | (other or {})
+    names = _needed(sql + recursive, [], ctes)
+    parts = [f"{n} as materialized ({ctes[n]})" for n in names]
     if recursive:
         parts.append(recursive)
     if not parts:
@@ -73,6 +75,16 @@ def query(key: str, sql: str | None = None, recursive: str = "", places: int = P
         QUERIES[key] = lambda spark, sf_dir: comparable(build(Fixtures(spark, sf_dir)), places)
         if sql is not None:
             ORACLES[key] = oracle(sql, recursive)
+        GIVEN[key] = (build, sql, recursive, places)
         return build
 
     return add
+
+
+def whole(key: str, fixtures: dict[str, str], parts: dict[str, str] | None = None, build=None) -> None:
+    """Register ``key`` a second time as ``key_whole``, over ``fixtures`` in place of those of the same name."""
+    given, sql, recursive, places = GIVEN[key]
+    build = build or given
+    other = {name: duck(name, text) for name, text in fixtures.items()} | (parts or {})
+    QUERIES[f"{key}_whole"] = lambda spark, sf_dir: comparable(build(Fixtures(spark, sf_dir, fixtures)), places)
+    ORACLES[f"{key}_whole"] = oracle(sql, recursive, other)
