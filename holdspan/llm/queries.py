@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from holdspan.llm import jaccard, linededup, mixing, packing, quality, tokencount, tokenout, topk, toxicity, urlfilter
-from holdspan.llm.common import table
+from pyspark.sql import functions as F
+
+from holdspan.llm import jaccard, linededup, merkle, mixing, packing, quality, tokencount, tokenout, topk, toxicity, urlfilter
+from holdspan.llm.common import sql_ascii_lower, table
 
 QUERIES = {}
 ORACLES = {}
@@ -221,3 +223,74 @@ def op1(spark, sf_dir):
     """The five best vectors for every fiftieth one."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+# The CRC-32 of a decimal number, bit by bit: each character is met, then shifted out in eight steps.
+CRC = """xor(list_reduce(
+    flatten(list_transform(string_split({0}, ''), lambda c: [cast(ord(c) as bigint), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, b: case when b >= 0 then xor(a, b) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end,
+    4294967295::bigint), 4294967295)"""
+
+
+def _merkle_levels(name: str, levels: int) -> str:
+    """From ``<name>0`` (g, pos, n, h) to the tops, with what stands beside each node."""
+    out = []
+    for k in range(levels):
+        run = "partition by g, pos // 16 order by pos rows between"
+        out.append(f"""{name}_beside{k} as (
+    select g, pos, coalesce(string_agg(h, '') over ({run} unbounded preceding and 1 preceding), '') as l,
+           coalesce(string_agg(h, '') over ({run} 1 following and unbounded following), '') as r
+    from {name}{k} where n > 1)""")
+        out.append(f"""{name}{k + 1} as (
+    select g, pos // 16 as pos, cast(ceil(n / 16.0) as bigint) as n, sha256(string_agg(h, '' order by pos)) as h
+    from {name}{k} where n > 1 group by g, pos // 16, n)""")
+    tops = " union all ".join(f"select g, h from {name}{k} where n = 1" for k in range(levels + 1))
+    return ",\n".join(out) + f",\n{name}_tops as ({tops})"
+
+
+def _merkle_climb(name: str, start: str, levels: int) -> str:
+    """Folds ``<start>`` (g, pos, fold, beside, ...) up the levels of ``name``."""
+    out = []
+    for k in range(levels):
+        out.append(f"""{start}{k + 1} as (
+    select d.* replace (case when b.l is null then fold else sha256(b.l || fold || b.r) end as fold,
+                        beside || coalesce(b.l || b.r, '') as beside, d.pos // 16 as pos)
+    from {start}{k} d left join {name}_beside{k} b on d.g is not distinct from b.g and d.pos = b.pos)""")
+    return ",\n".join(out)
+
+
+STATED = "coalesce(strlen(cast({0} as varchar)) || ':' || {0}, '-')"
+LEAF = "sha256(" + " || ".join(STATED.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op11_merkle_manifest",
+    f"""
+with leaves as (
+    select doc_id, source as g, {LEAF.format("text")} as h,
+           case when {CRC.format("cast(doc_id as varchar)")} % 5 = 0 then {LEAF.format(LOWERED)} end as altered
+    from documents),
+leaf0 as (
+    select *, row_number() over (partition by g order by doc_id nulls first, h) - 1 as pos, count(*) over (partition by g) as n
+    from leaves),
+{_merkle_levels("leaf", 6)},
+source0 as (
+    select 0 as g, g as source, row_number() over (order by g nulls first) - 1 as pos, count(*) over () as n, h from leaf_tops),
+{_merkle_levels("source", 3)},
+doc0 as (select doc_id, h as leaf, g, pos, coalesce(altered, h) as fold, '' as beside from leaf0),
+{_merkle_climb("leaf", "doc", 6)},
+top0 as (
+    select d.doc_id, d.leaf, s.h as subroot, 0 as g, s.pos, d.fold, d.beside
+    from doc6 d join source0 s on d.g is not distinct from s.source),
+{_merkle_climb("source", "top", 3)}
+select doc_id, leaf, subroot, t.h as root, sha256(beside) as proof_sha256, fold as folded_root, fold = t.h as verified
+from top3, source_tops t
+""",
+)
+def op11(spark, sf_dir):
+    """Proof of every document in the manifest, with the text of a fifth of them altered."""
+    docs = table(spark, sf_dir, "documents")
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, sql_ascii_lower(F.col("text")))
+    found = merkle.proofs(docs, ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", {"text": altered})
+    return found.withColumnRenamed("siblings_sha256", "proof_sha256")
