@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from holdspan.llm import jaccard, linededup, merkle, mixing, packing, quality, tokencount, tokenout, topk, toxicity, urlfilter
+from holdspan.llm import jaccard, linededup, merkle, mixing, packing, quality, spelling, tokencount, tokenout, topk, toxicity, urlfilter
 from holdspan.llm.common import sql_ascii_lower, table
 
 QUERIES = {}
@@ -225,9 +225,10 @@ def op1(spark, sf_dir):
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
-# The CRC-32 of a decimal number, bit by bit: each character is met, then shifted out in eight steps.
+# The CRC-32 of a text, bit by bit: each byte is met, then shifted out in eight steps.
 CRC = """xor(list_reduce(
-    flatten(list_transform(string_split({0}, ''), lambda c: [cast(ord(c) as bigint), -1, -1, -1, -1, -1, -1, -1, -1])),
+    flatten(list_transform(generate_series(1, strlen({0})),
+                           lambda i: [cast('0x' || substr(hex({0}), 2 * i - 1, 2) as bigint), -1, -1, -1, -1, -1, -1, -1, -1])),
     lambda a, b: case when b >= 0 then xor(a, b) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end,
     4294967295::bigint), 4294967295)"""
 
@@ -294,3 +295,48 @@ def op11(spark, sf_dir):
     altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, sql_ascii_lower(F.col("text")))
     found = merkle.proofs(docs, ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", {"text": altered})
     return found.withColumnRenamed("siblings_sha256", "proof_sha256")
+
+
+@query(
+    "op13_spelling_variants",
+    f"""
+with recursive runs as (
+    select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as raw from documents),
+lowered as (
+    select doc_id, {LOWERED.replace("text", "raw")} as run, count(*) as times from runs where length(raw) >= 7 group by all),
+hashed as (
+    select run, times, {CRC.format("named")} as crc from (select *, cast(doc_id as varchar) || ':' || run as named from lowered)),
+altered as (
+    select case when crc % 31 = 0 then left(run, cast(crc % length(run) as int)) || substr(run, cast(crc % length(run) + 2 as int))
+                else run end as word, times from hashed),
+words as (
+    select word, cast(sum(times) as bigint) as n from altered where length(word) >= 7 group by word having sum(times) >= 2),
+shorter as (
+    select word, n, length(word) as size, i, left(word, i - 1) || substr(word, i + 1) as rest
+    from (select word, n, unnest(generate_series(1, length(word))) as i from words)),
+pairs as (
+    select distinct a.word, a.n, b.word as other, b.n as m
+    from shorter a join shorter b on a.rest = b.rest and a.i = b.i and a.word <> b.word and a.size = b.size
+    union
+    select distinct a.word, a.n, b.word, b.n from shorter a join words b on a.rest = b.word
+    union
+    select distinct b.word, b.n, a.word, a.n from shorter a join words b on a.rest = b.word),
+ranked as (
+    select word, n, other, m, count(*) over (partition by word) as n_near,
+           row_number() over (partition by word order by m desc, other) as k from pairs),
+found as (
+    select w.word, w.n, coalesce(n_near, 0) as n_near,
+           case when m >= 10 * w.n then other end as form, case when m >= 10 * w.n then m end as form_n
+    from words w left join ranked r on r.word = w.word and k = 1),
+steps as (
+    select word, word as root from found
+    union all
+    select s.word, f.form from steps s join found f on f.word = s.root where f.form is not null),
+ends as (
+    select s.word, s.root from steps s join found f on f.word = s.root where f.form is null)
+select word, form, root, n, n_near, form_n from found join ends using (word)
+""",
+)
+def op13(spark, sf_dir):
+    """Near words, form and root of every word of the documents."""
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
