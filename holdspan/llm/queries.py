@@ -6,7 +6,21 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from holdspan.llm import jaccard, linededup, merkle, mixing, packing, quality, spelling, tokencount, tokenout, topk, toxicity, urlfilter
+from holdspan.llm import (
+    fingerprint,
+    jaccard,
+    linededup,
+    merkle,
+    mixing,
+    packing,
+    quality,
+    spelling,
+    tokencount,
+    tokenout,
+    topk,
+    toxicity,
+    urlfilter,
+)
 from holdspan.llm.common import sql_ascii_lower, table
 
 QUERIES = {}
@@ -297,6 +311,12 @@ def op11(spark, sf_dir):
     return found.withColumnRenamed("siblings_sha256", "proof_sha256")
 
 
+@query("op12_document_fingerprints")
+def op12(spark, sf_dir):
+    """Fingerprints of every document and of its edited text."""
+    return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op13_spelling_variants",
     f"""
