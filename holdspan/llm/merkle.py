@@ -54,7 +54,9 @@ def in_order(rows: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def numbered(ordered: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
-    """``group, no, n`` of every group in order, and the ordered rows with ``no`` and ``pos``, both from 0.
+    """``group, no, n`` of every group in order, and the ordered rows with ``no``, ``n`` and ``pos``.
+
+    ``no`` and ``pos`` count from 0.
 
     A range adds what lies before it, of the group and in all; only (group, range) pairs go through windows.
     """
@@ -69,8 +71,8 @@ def numbered(ordered: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
     sizes = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_part")) - F.col("_n"))
     groups = groups.withColumn("_part", part).join(sizes, "_part")
     groups = cut(groups.select(group, (F.col("_at") - F.col("_low") + F.col("_before")).alias("no"), "n"))
-    placed = placed.join(groups.select(F.col(group).alias("_g"), "no"), F.col(group).eqNullSafe(F.col("_g")))
-    placed = placed.select(F.col("_g"), F.col("_part").alias("_p"), "_low", "_before", "no")
+    placed = placed.join(groups.select(F.col(group).alias("_g"), "no", "n"), F.col(group).eqNullSafe(F.col("_g")))
+    placed = placed.select(F.col("_g"), F.col("_part").alias("_p"), "_low", "_before", "no", "n")
     rows = ordered.withColumn("_part", part).join(placed, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
     rows = rows.withColumn("pos", F.col("_at") - F.col("_low") + F.col("_before"))
     return groups, rows.drop("_g", "_p", "_part", "_low", "_before", "_at")
@@ -190,9 +192,9 @@ def proofs(
         leaf.alias("h"),
         F.when(touched, other).alias("altered"),
     )
-    groups, placed = numbered(in_order(leaves, ["_group", "id", "h"]), "_group")
-    nodes = placed.select("no", "pos", "h", "id", "altered").join(groups.select("no", "n"), "no")
-    low = tree(nodes.withColumn("alone", F.col("n") == 1), ("id", "altered"))
+    _, placed = numbered(in_order(leaves, ["_group", "id", "h"]), "_group")
+    nodes = placed.select("no", "n", "pos", "h", "id", "altered")
+    low = tree(nodes, ("id", "altered"))
     subroots = cut(low.tops)
     n_groups = subroots.count()
     high = tree(subroots.select(F.col("no").alias("pos"), F.col("top").alias("h"), F.lit(n_groups).cast("long").alias("n"), (F.col("no") * 0).alias("no")))
