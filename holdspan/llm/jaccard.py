@@ -7,9 +7,10 @@ that is the same in both. Sets are joined on such blocks within bands of sizes;
 whole sets decide.
 
 Sets that are equal are one *node* from the start, so copies are never paired. A group of near copies
-is not paired out either: every node is first tested against one centre, then against the nearest node
-of each component that it still meets, and only near sketches that this has not brought together
-become pairs.
+is not paired out either: every node is first tested against one centre. Components that still meet in
+a block with near sketches then become clusters; inside a cluster each set is at hand once, sets that
+are not together yet are compared in the task, and only links that join two components leave it. Blocks
+and clusters above a size are cut into slices, and each pair of slices is a group of its own.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SPARE = 8  # one spare block for so many that are needed: a text then leaves its
 FEW = 100_000  # nodes a task remembers as already sent
 MARKS = 1 << 25  # bits that mark wanted documents: 4 MB whatever the corpus
 PAGE = 32_768  # bits of one bitmap of Spark's
+BLOCK_ROWS = 4_096  # members of a block that a task compares with each other
+CLUSTER_ROWS, CLUSTER_GRAMS = 1_024, 1 << 20  # nodes, and n-grams of all of them, that it verifies together
 
 U = np.uint64
 
@@ -240,57 +243,158 @@ def shared_blocks(keys: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "key long, node long, probe long, centre long")
 
 
-def open_pairs(rows: DataFrame, shape: Shape, best: bool) -> DataFrame:
-    """``u, v`` of nodes in a probed block that lie in different components so far and whose sketches are near.
+def _sliced(rows: DataFrame, slices, *spread_by: str) -> DataFrame:
+    """Adds ``low, high, slice``: rows of a group of several slices go to each pair of slices with their own."""
+    own = F.pmod(F.xxhash64(*spread_by), slices).cast("int")
+    placed = rows.withColumn("slice", own).withColumn("_other", F.explode(F.sequence(F.lit(0), slices.cast("int") - 1)))
+    return placed.withColumns({"low": F.least("slice", "_other"), "high": F.greatest("slice", "_other")}).drop("_other")
 
-    With ``best``, a node is paired with its nearest one alone in each other component of the block.
+
+class _Labels:
+    """Which rows of a group are together so far."""
+
+    def __init__(self, roots: np.ndarray):
+        self.of = np.unique(roots, return_inverse=True)[1]
+
+    def merge(self, i: int, j: int) -> None:
+        self.of[self.of == self.of[j]] = self.of[i]
+
+
+def near_links(rows: DataFrame, shape: Shape, every: bool = False) -> DataFrame:
+    """``u, v``, links of components that hold near sketches in a probed block, enough to span them.
+
+    Rows come by block, or by pair of slices of one. A row is compared with those that are not together
+    with it yet; each link found puts two components together, so a block gives fewer links than it
+    has components, whatever the number of near pairs.
     """
     bounds = shape.bounds()
+    columns = ["key", "low", "high", "slice", "node", "probe", "n", "root", "own", "next"]
 
     def run(batches):
-        for columns in _runs(batches, ["key", "node", "probe", "n", "root", "own", "next"]):
-            once = np.ones(len(columns[0]), bool)
-            once[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
-            key, node, probe, n, root, own, following = (c[once] for c in columns)
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            ends = np.append(starts[1:], len(key))
+        for held_rows in _runs(batches, columns):
+            key, low, high, part, node, probe, n, root, own, following = held_rows
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+            starts = np.flatnonzero(new).tolist()
             us, vs = [], []
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                if b - a < 2 or root[a:b].min() == root[a:b].max():
+            for a, b in zip(starts, [*starts[1:], len(key)], strict=True):
+                if b - a < 2 or root[a:b].min() == root[a:b].max() or not probe[a:b].any():
                     continue
+                together = _Labels(root[a:b])
                 bands = np.array([bisect_right(bounds, x) for x in n[a:b].tolist()])
                 window = bands[probe[a:b] > 0].max()  # that of the sets which probe
                 raw = [own[i] if bands[i - a] == window else following[i] for i in range(a, b)]
-                if len({len(x) for x in raw}) > 1:  # equal keys of different windows, by chance: all pairs are tested
-                    us.append(np.repeat(node[a:b], b - a))
-                    vs.append(np.tile(node[a:b], b - a))
-                    continue
-                sketches = np.frombuffer(b"".join(raw), np.uint16).reshape(b - a, -1)
-                for i in range(a, b - 1):
-                    j = slice(i + 1, b)
-                    fit = (root[j] != root[i]) & ((probe[j] | probe[i]) > 0)
-                    fit &= 100 * np.minimum(n[j], n[i]) >= shape.percent * np.maximum(n[j], n[i])
+                even = len({len(x) for x in raw}) == 1  # else equal keys of different windows, by chance: all are linked
+                sketches = np.frombuffer(b"".join(raw), np.uint16).reshape(b - a, -1) if even else None
+                for i in range(b - a - 1):
+                    rest = slice(i + 1, b - a)
+                    fit = together.of[rest] != together.of[i]
+                    if low[a] != high[a]:
+                        fit &= part[a:b][rest] != part[a + i]
+                    if even:
+                        fit &= (probe[a:b][rest] | probe[a + i]) > 0
+                        fit &= 100 * np.minimum(n[a:b][rest], n[a + i]) >= shape.percent * np.maximum(n[a:b][rest], n[a + i])
                     at = np.flatnonzero(fit) + i + 1
-                    bits = np.bitwise_count(sketches[at - a] ^ sketches[i - a]).sum(axis=1, dtype=np.int64)
-                    near = bits <= (100 - shape.percent) * (n[at] + n[i]) // (100 + shape.percent)
-                    at, bits = at[near], bits[near]
-                    if best and len(at) > 1:
-                        order = np.lexsort((bits, root[at]))
-                        at = at[order][np.concatenate([[True], np.diff(root[at][order]) != 0])]
-                    if len(at):
-                        us.append(np.minimum(node[at], node[i]))
-                        vs.append(np.maximum(node[at], node[i]))
-            yield _pairs(us, vs)
-
-    ordered = rows.repartition("key").sortWithinPartitions("key", "node")
+                    if even and len(at):
+                        bits = np.bitwise_count(sketches[at] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+                        at = at[bits <= (100 - shape.percent) * (n[a + at] + n[a + i]) // (100 + shape.percent)]
+                    for j in at.tolist():
+                        if together.of[i] != together.of[j]:
+                            if not every:
+                                together.merge(i, j)
+                            us.append(min(root[a + i], root[a + j]))
+                            vs.append(max(root[a + i], root[a + j]))
+            yield _pairs([np.array(us, np.int64)], [np.array(vs, np.int64)])
+
+    group = ["key", "low", "high"]
+    ordered = rows.repartition(*group).sortWithinPartitions(*group, "node")
     return ordered.mapInArrow(run, "u long, v long").distinct()
 
 
 def _open_blocks(members: DataFrame, roots: DataFrame, content: DataFrame) -> DataFrame:
-    """Members of the blocks in which several components meet, with sizes and sketches."""
+    """Members of the blocks in which several components meet, with sizes and sketches; large blocks in slices."""
     placed = members.select("key", "node", "probe").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return placed.join(several.select("key"), "key", "left_semi").join(content.select("node", "n", "own", "next"), "node")
+    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"))
+    several = several.where("low <> high").select("key", F.ceil(F.col("rows") / BLOCK_ROWS).alias("slices"))
+    joined = placed.join(several, "key").join(content.select("node", "n", "own", "next"), "node")
+    return _sliced(joined, F.col("slices"), "node").drop("slices")
+
+
+def near_clusters(links: DataFrame, roots: DataFrame, content: DataFrame) -> DataFrame:
+    """``cluster`` and the content of all nodes of components that near sketches connect; large ones in slices."""
+    of = connected(links.toDF("a", "b")).toDF("root", "cluster")
+    placed = content.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).dropDuplicates(["node"])
+    placed = cut(placed.join(of, "root"))
+    sizes = placed.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
+    slices = F.ceil(F.greatest(F.col("rows") / CLUSTER_ROWS, F.col("grams") / CLUSTER_GRAMS))
+    return _sliced(placed.join(sizes.select("cluster", slices.alias("slices")), "cluster"), F.col("slices"), "node").drop("slices")
+
+
+def true_links(rows: DataFrame, shape: Shape) -> DataFrame:
+    """``u, v`` of similar sets that join components inside a cluster: fewer than it has nodes.
+
+    Each node's set is at hand once a cluster or pair of slices. Sketches sift the nodes that are not
+    together with it yet, and sets decide: one n-gram after another is looked up among those of the node.
+    """
+    bounds = shape.bounds()
+    columns = ["cluster", "low", "high", "slice", "node", "n", "root", "own", "next", "hashes"]
+
+    def run(batches):
+        for group in _groups(batches, columns, 3):
+            low, high, part, node, n, root, own, following, hashes = group[1:]
+            us, vs = [], []
+            together = _Labels(root)
+            bands = np.array([bisect_right(bounds, x) for x in n.tolist()])
+            grams = np.concatenate([np.frombuffer(h, U) for h in hashes])
+            dense = np.unique(grams, return_inverse=True)[1]
+            ends = np.cumsum(n)
+            seen = np.zeros(int(dense.max(initial=0)) + 1, bool)
+            for i in np.argsort(-n, kind="stable").tolist():  # the larger one's window, with those that are not larger
+                fit = (together.of != together.of[i]) & (n <= n[i]) & (100 * n >= shape.percent * n[i])
+                if low[0] != high[0]:
+                    fit &= part != part[i]
+                at = np.flatnonzero(fit & (bands >= bands[i] - 1))
+                if not len(at):
+                    continue
+                ours = np.frombuffer(own[i], np.uint16)
+                other = np.frombuffer(b"".join([own[j] if bands[j] == bands[i] else following[j] for j in at]), np.uint16)
+                bits = np.bitwise_count(other.reshape(len(at), -1) ^ ours).sum(axis=1, dtype=np.int64)
+                near = bits <= (100 - shape.percent) * (n[at] + n[i]) // (100 + shape.percent)
+                at = at[near][np.argsort(bits[near], kind="stable")]
+                mine = dense[ends[i] - n[i] : ends[i]]
+                seen[mine] = True
+                for j in at.tolist():
+                    if together.of[i] != together.of[j]:
+                        both = int(np.count_nonzero(seen[dense[ends[j] - n[j] : ends[j]]]))
+                        if 100 * both >= shape.percent * (n[i] + n[j] - both):
+                            together.merge(i, j)
+                            us.append(min(node[i], node[j]))
+                            vs.append(max(node[i], node[j]))
+                seen[mine] = False
+            yield _pairs([np.array(us, np.int64)], [np.array(vs, np.int64)])
+
+    group = ["cluster", "low", "high"]
+    ordered = rows.repartition(*group).sortWithinPartitions(*group, "node")
+    return ordered.select(columns).mapInArrow(run, "u long, v long").distinct()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: list[str], keys: int):
+    """The columns of each run of rows that agree in the first ``keys`` ones."""
+    kept: list[list] = []
+    at = None
+
+    def made():
+        return [np.array(c, object if isinstance(c[0], bytes) else np.int64) for c in zip(*kept, strict=True)]
+
+    for batch in batches:
+        for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns), strict=True):
+            if row[:keys] != at:
+                if len(kept) > 1:
+                    yield made()
+                at, kept[:] = row[:keys], []
+            kept.append(row)
+    if len(kept) > 1:
+        yield made()
 
 
 def _pairs(us: list, vs: list) -> pa.RecordBatch:
@@ -400,6 +504,45 @@ def similar(pairs: DataFrame, content: DataFrame, shape: Shape) -> DataFrame:
     return _kept(_both(close, content, ["hashes"]), alike)
 
 
+def _prepared(docs: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The set of each row, the shared blocks, and the content of every set that shares one."""
+    sets = cut(sets_of(docs, shape))
+    docs = docs.where("doc_id is not null")
+    members = cut(shared_blocks(block_keys(docs, shape)))
+
+    # One text stands for each set that shares a block with another one. A set may come from several
+    # tasks; pairs then repeat, which changes nothing.
+    nodes = members.select("node").distinct()
+    named = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    chosen = cut(named.join(nodes, "node", "left_semi"))
+    return sets, members, cut(contents(marked(docs, chosen.select("doc_id")), shape))
+
+
+def similarity_links(
+    docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets, and which documents have a set: ``a, b`` and ``doc_id, set_id``.
+
+    A set is named by its smallest document; ``a < b`` are the names of similar sets, each pair once. The
+    documents of one set all link with each other and with those of a linked set; they are not paired
+    out. Texts, ids and odd rows are as in ``similarity_classes``; rows without a set are in neither
+    table. Near sketches of a group become rows here, since each may be a link that is asked for.
+    """
+    shape = Shape(width, percent)
+    docs = texts(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    sets, members, content = _prepared(docs, shape)
+    content = cut(content.dropDuplicates(["node"]))
+    apart = members.select("node", F.col("node").alias("root")).distinct()
+    pairs = cut(near_links(_open_blocks(members, apart, content), shape, every=True))
+    found = similar(pairs, content, shape)
+    named = sets.where("node is not null and doc_id is not null")
+    names = cut(named.groupBy("node").agg(F.min("doc_id").alias("set_id")))
+    for side in ("u", "v"):
+        found = found.join(names.select(F.col("node").alias(side), F.col("set_id").alias(f"of_{side}")), side)
+    links = found.select(F.least("of_u", "of_v").alias("a"), F.greatest("of_u", "of_v").alias("b"))
+    return links, named.join(names, "node").select("doc_id", "set_id")
+
+
 def similarity_classes(
     docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -417,16 +560,7 @@ def similarity_classes(
     """
     shape = Shape(width, percent)
     docs = texts(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = cut(sets_of(docs, shape))
-    docs = docs.where("doc_id is not null")
-    members = cut(shared_blocks(block_keys(docs, shape)))
-
-    # One text stands for each set that shares a block with another one. A set may come from several
-    # tasks; pairs then repeat, which changes nothing.
-    nodes = members.select("node").distinct()
-    named = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    chosen = cut(named.join(nodes, "node", "left_semi"))
-    content = cut(contents(marked(docs, chosen.select("doc_id")), shape))
+    sets, members, content = _prepared(docs, shape)
 
     # Each set against the centre with which it shares most blocks.
     votes = members.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
@@ -435,15 +569,12 @@ def similarity_classes(
     first = cut(similar(pairs, content, shape))
     roots = connected(first.toDF("a", "b"))
 
-    # Then each set against the nearest one of every other component that it meets in a block, and at last
-    # whatever is near and still lies in different components.
-    found = first
-    for best in (True, False):
-        pairs = open_pairs(_open_blocks(members, roots, content), shape, best)
-        more = cut(similar(pairs, content, shape))
+    # Then components that meet in a block with near sketches form clusters, in which sets decide.
+    links = cut(near_links(_open_blocks(members, roots, content), shape))
+    if not links.isEmpty():
+        more = cut(true_links(near_clusters(links, roots, content), shape))
         if not more.isEmpty():
-            found = found.unionByName(more)
-            roots = connected(found.toDF("a", "b"))
+            roots = connected(first.unionByName(more).toDF("a", "b"))
 
     labelled = sets.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
     smallest = labelled.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))

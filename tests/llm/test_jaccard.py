@@ -73,6 +73,71 @@ def test_classes(documents, seed, width, percent):
     assert found == classes(rows, width, percent)
 
 
+@pytest.mark.parametrize("seed,width,percent", [(1, 4, 85), (2, 5, 80)])
+def test_links(documents, monkeypatch, seed, width, percent):
+    """Every link between different sets, from blocks and clusters of any number of slices."""
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 5)
+    rows = corpus(seed)
+    links, members = jaccard.similarity_links(documents(rows).repartition(5), width, percent)
+    sets, least = {}, {}
+    for doc, text in rows:
+        words = jaccard_words(text)
+        k = min(width, len(words))
+        if words and doc is not None:
+            found = frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+            sets.setdefault(doc, []).append(found)
+            least[found] = min(doc, least.get(found, doc))
+    assert sorted((r.doc_id, r.set_id) for r in members.collect()) == sorted((d, least[s]) for d, x in sets.items() for s in x)
+    names = list(least)
+    want = set()
+    for i, x in enumerate(names):
+        for y in names[:i]:
+            both = len(x & y)
+            if both and 100 * both >= percent * (len(x) + len(y) - both):
+                want.add((min(least[x], least[y]), max(least[x], least[y])))
+    got = [(r.a, r.b) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def near_copies(n, seed=7):
+    """Copies of one text, each with other words in a few places: some pairs are similar, most nearly so."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        for at in rng.sample(range(300), 5):
+            copy[at] = f"x{i}.{at}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("rows_at_once", [4_096, 40])
+def test_a_hot_group_gives_few_rows(documents, monkeypatch, rows_at_once):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", rows_at_once)
+    monkeypatch.setattr(jaccard, "CLUSTER_ROWS", rows_at_once)
+    counts = {}
+
+    def counted(name):
+        plain = getattr(jaccard, name)
+
+        def run(*args, **more):
+            out = jaccard.cut(plain(*args, **more))
+            counts[name] = out.count()
+            return out
+
+        monkeypatch.setattr(jaccard, name, run)
+
+    counted("near_links")
+    counted("true_links")
+    rows = near_copies(200)
+    got = jaccard.similarity_classes(documents(rows), 4, 85)
+    found = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect())
+    assert found == classes(rows, 4, 85)
+    pairs = (200 // rows_at_once + 1) ** 2
+    assert counts.get("near_links", 0) < 200 * pairs and counts.get("true_links", 0) < 200 * pairs
+
+
 def test_empty_table(documents):
     assert jaccard.similarity_classes(documents([])).count() == 0
 
