@@ -50,6 +50,14 @@ def held(name: Hashable, make: Callable):
     return _HELD[name]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 TEXTS_AT_ONCE = 1_000
 
 

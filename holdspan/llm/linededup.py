@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdspan.llm.common import WHITE, ascii_lower, cut, texts
+from holdspan.llm.common import WHITE, ascii_lower, cut, texts, unused
 from holdspan.llm.cuckoo import CuckooFilter
 
 MIN_CHARS = 40
@@ -29,6 +29,7 @@ SHARD_LINES = 250_000  # distinct lines of a shard: a filter of 1 MB, and a task
 SLICE = 256  # texts handled at once
 
 KEY = ["h1", "h2"]
+ADDED = ["_kept", "_n_lines", "_n_dropped", "_kept_sha256"]
 COUNTS = "shard int, h1 long, h2 long, n_docs long, last_doc long"
 FILTERS = "shard int, lines long, slots binary"
 
@@ -167,11 +168,14 @@ class LineIndex:
     def apply(self, docs: DataFrame) -> DataFrame:
         """All rows and columns of ``docs``, and ``_kept`` text, ``_n_lines``, ``_n_dropped``.
 
-        A row whose id is null keeps all its lines; a null text is one empty line and stays null.
+        A row whose id is null keeps all its lines; a null text is one empty line and stays null. Columns
+        of ``docs`` that have the names of those added are replaced.
         """
-        drops = self.dropped(docs).select(F.col("doc_id").alias("_drop_id"), F.col("drop").alias("_drop"))
-        joined = docs.join(drops, docs["doc_id"].cast("long") == F.col("_drop_id"), "left").drop("_drop_id")
-        return _without(joined, self.min_chars)
+        docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
+        of, drop = unused(docs, "_of"), unused(docs, "_drop")
+        drops = self.dropped(docs).select(F.col("doc_id").alias(of), F.col("drop").alias(drop))
+        joined = docs.join(drops, F.col("doc_id").cast("long") == F.col(of), "left").drop(of)
+        return _without(joined, self.min_chars, drop)
 
 
 def _look_up(batch: DataFrame, filters: DataFrame) -> DataFrame:
@@ -228,8 +232,8 @@ def _emptied(lost: DataFrame, filters: DataFrame) -> DataFrame:
     return lost.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(run, FILTERS)
 
 
-def _without(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``docs`` (with ``_drop``) and what is left of each text."""
+def _without(docs: DataFrame, min_chars: int, drops: str) -> DataFrame:
+    """``docs`` (with digests to drop in the column ``drops``) and what is left of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -237,7 +241,7 @@ def _without(docs: DataFrame, min_chars: int) -> DataFrame:
                 some = batch.slice(at, SLICE)
                 kept, lines, dropped = [], [], []
                 given = some.column(some.schema.get_field_index("text")).to_pylist()
-                for text, drop in zip(given, some.column(some.schema.get_field_index("_drop")).to_pylist(), strict=True):
+                for text, drop in zip(given, some.column(some.schema.get_field_index(drops)).to_pylist(), strict=True):
                     cut_up = (text or "").split("\n")
                     lines.append(len(cut_up))
                     if drop:
@@ -249,15 +253,15 @@ def _without(docs: DataFrame, min_chars: int) -> DataFrame:
                         dropped.append(0)
                     kept.append(text)
                 digests = [hashlib.sha256((k or "").encode()).hexdigest() for k in kept]
-                own = [some.column(i) for i, f in enumerate(some.schema) if f.name != "_drop"]
-                names = [f.name for f in some.schema if f.name != "_drop"]
+                own = [some.column(i) for i, f in enumerate(some.schema) if f.name != drops]
+                names = [f.name for f in some.schema if f.name != drops]
                 yield pa.RecordBatch.from_arrays(
                     [*own, pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digests)],
-                    [*names, "_kept", "_n_lines", "_n_dropped", "_kept_sha256"],
+                    [*names, *ADDED],
                 )
 
     docs = texts(docs)
-    fields = [f for f in docs.schema.fields if f.name != "_drop"]
+    fields = [f for f in docs.schema.fields if f.name != drops]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return docs.mapInArrow(run, schema + ", _kept string, _n_lines long, _n_dropped long, _kept_sha256 string")
 
@@ -272,7 +276,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     Lines whose key has at least ``min_chars`` code points and stands in at least ``min_docs`` documents
     stay only in the document with the largest id. All rows and columns come back, with ``_kept``,
-    ``_n_lines``, ``_n_dropped``, ``_kept_sha256``. Rows without id count for no line and lose none;
+    ``_n_lines``, ``_n_dropped``, ``_kept_sha256``, which replace columns of the same names. Rows without id count for no line and lose none;
     rows that repeat an id are one document. An empty table gives no rows.
     """
     spark = docs.sparkSession

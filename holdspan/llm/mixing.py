@@ -146,7 +146,8 @@ def schedule(
 def mix_sources(docs: DataFrame, weights: dict[str, int], rest: int = 1, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """The rows of ``docs`` in the order of the mixture: files written from it follow each other.
 
-    Rows are dealt out by ranges of slots and sorted within, so no task holds a source.
+    Rows are dealt out by ranges of slots and sorted within, so no task holds a source. Rows are as in
+    ``schedule``; extra columns may have any name. An empty table gives no rows.
     """
-    mixed = schedule(docs, weights, rest, block_docs)
-    return mixed.orderBy("_slot", "_inside_block").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return schedule(rows, weights, rest, block_docs).orderBy("_slot", "_inside_block").select("row.*")

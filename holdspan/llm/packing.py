@@ -18,11 +18,12 @@ from holdspan.llm.encode import text_encoder
 WINDOWS = 32  # open sequences a task keeps
 FAN_IN = 16  # tasks whose leftovers are packed together
 SLICE = 128  # texts encoded at once
+PLACE_BITS = 36  # of the number of ids that a task has read; above them is the task
 
-NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "seq", "offset", "open", "ids"]
+NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "seq", "offset", "place", "open", "ids"]
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, seq long, offset long, "
-    "open boolean, ids binary"
+    "place long, open boolean, ids binary"
 )
 
 
@@ -41,7 +42,7 @@ class Packer:
         self.next = 0
         self.done: list[tuple] = []
 
-    def _put(self, at: int | None, doc, start: int, ids: memoryview, total: int) -> None:
+    def _put(self, at: int | None, doc, start: int, ids: memoryview, total: int, place: int) -> None:
         """Append to the sequence at a place of ``rooms``, or to a new one."""
         n = len(ids) // 4
         if at is None:
@@ -50,14 +51,23 @@ class Packer:
             self.held[seq] = []
         else:
             room, seq = self.rooms.pop(at)
-        self.held[seq].append((doc, start, ids, total, self.capacity - room))
+        self.held[seq].append((doc, start, ids, total, self.capacity - room, place))
         if room == n:
-            self.done.extend((seq, False, *piece) for piece in self.held.pop(seq))
+            self._out(self.done, False, self.held.pop(seq))
         else:
             insort(self.rooms, (room - n, seq))
 
-    def add(self, doc, ids: bytes | memoryview, start: int = 0, total: int | None = None) -> None:
-        """Place ids of a document; its ids before them are ``start``, all its ids ``total``."""
+    @staticmethod
+    def _out(to: list[tuple], still: bool, pieces: list[tuple]) -> None:
+        """A sequence is numbered by the first place among those of its pieces; no other one has it."""
+        first = min(piece[-1] for piece in pieces)
+        to.extend((first, still, *piece) for piece in pieces)
+
+    def add(self, doc, ids: bytes | memoryview, start: int = 0, total: int | None = None, place: int = 0) -> None:
+        """Place ids of a document; its ids before them are ``start``, all its ids ``total``.
+
+        ``place`` is where the first id stands in the whole input.
+        """
         ids = memoryview(ids)
         total = len(ids) // 4 if total is None else total
         while len(ids):
@@ -71,8 +81,8 @@ class Packer:
                     at = None
                     if len(self.rooms) >= self.windows:
                         at, take = 0, self.rooms[0][0]
-            self._put(at, doc, start, ids[: 4 * take], total)
-            start, ids = start + take, ids[4 * take :]
+            self._put(at, doc, start, ids[: 4 * take], total, place)
+            start, place, ids = start + take, place + take, ids[4 * take :]
 
     def leave(self) -> list[tuple]:
         """Pieces of the full sequences since the last call."""
@@ -81,7 +91,9 @@ class Packer:
 
     def close(self) -> list[tuple]:
         """Pieces of the sequences still open."""
-        out = [(seq, True, *piece) for seq in sorted(self.held) for piece in self.held[seq]]
+        out: list[tuple] = []
+        for seq in sorted(self.held):
+            self._out(out, True, self.held[seq])
         self.held, self.rooms = {}, []
         return out
 
@@ -89,11 +101,11 @@ class Packer:
 def rows_of(pieces: list[tuple], part: int, with_ids: bool, final: bool = False) -> list[list]:
     """Columns of ``SCHEMA``; ids stay only where they are still needed, or are asked for."""
     columns: list[list] = [[] for _ in NAMES]
-    for seq, still, doc, start, ids, total, offset in pieces:
+    for seq, still, doc, start, ids, total, offset, place in pieces:
         raw = bytes(ids)
         open_ = still and not final
         row = (
-            doc, start, len(raw) // 4, zlib.crc32(raw), total, part, seq, offset, open_,
+            doc, start, len(raw) // 4, zlib.crc32(raw), total, part, seq, offset, place, open_,
             raw if open_ or with_ids else None,
         )
         for column, value in zip(columns, row, strict=True):
@@ -106,8 +118,9 @@ def _first_pass(path: str, end_id: int, capacity: int, windows: int, with_ids: b
         encoder = text_encoder(path)
         packer, part = Packer(capacity, windows), TaskContext.get().partitionId()
         end = end_id.to_bytes(4, "little")
+        place = part << PLACE_BITS
         schema = pa.schema(
-            [(n, pa.int64()) for n in NAMES[:8]] + [("open", pa.bool_()), ("ids", pa.binary())]
+            [(n, pa.int64()) for n in NAMES[:9]] + [("open", pa.bool_()), ("ids", pa.binary())]
         )
 
         def batch_of(pieces):
@@ -119,7 +132,9 @@ def _first_pass(path: str, end_id: int, capacity: int, windows: int, with_ids: b
             for at in range(0, batch.num_rows, SLICE):
                 some = batch.slice(at, SLICE)
                 for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    packer.add(doc, encoder.ids(text or "") + end)
+                    ids = encoder.ids(text or "") + end
+                    packer.add(doc, ids, place=place)
+                    place += len(ids) // 4
                 yield batch_of(packer.leave())
         yield batch_of(packer.close())
 
@@ -132,7 +147,7 @@ def _merge(capacity: int, windows: int, with_ids: bool, final: bool):
         packer = Packer(capacity, windows)
         for row in rows.itertuples(index=False):
             doc = None if pd.isna(row.doc_id) else int(row.doc_id)
-            packer.add(doc, row.ids, int(row.start), int(row.doc_tokens))
+            packer.add(doc, row.ids, int(row.start), int(row.doc_tokens), int(row.place))
         columns = rows_of(packer.leave() + packer.close(), int(key[0]), with_ids, final)
         out = pd.DataFrame(dict(zip(NAMES, columns, strict=True)))
         out["doc_id"] = out["doc_id"].astype("Int64")
@@ -158,28 +173,29 @@ def pack(
     again with that of ``FAN_IN`` tasks, and so on, until one sequence at most has padding. A merging task
     holds ``FAN_IN * windows`` sequences, whatever the corpus. Texts are not shuffled.
 
+    Sequence numbers rise with the first id that a sequence holds, in the order of ``docs``' partitions
+    and of the rows in them: of ordered documents, sequences are in that order.
+
     ``with_ids`` adds each piece's ids. A null or empty text is its ``end_id`` alone; null and repeated
     ids are packed each; an empty table gives no rows. Extra columns are not read.
     """
     narrow = texts(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    level, groups = 0, narrow.rdd.getNumPartitions()
     packed = cut(narrow.mapInArrow(_first_pass(path, end_id, capacity, windows, with_ids), SCHEMA))
-    done = [packed.where("not open").withColumn("level", F.lit(level))]
+    groups = packed.rdd.getNumPartitions()
+    done = [packed.where("not open")]
     while True:
-        level += 1
         groups = -(-groups // FAN_IN)
         final = groups <= 1
         left = packed.where("open").withColumn("group", F.floor(F.col("part") / FAN_IN))
         merge = _merge(capacity, 1 if final else windows, with_ids, final)
         packed = left.groupBy("group").applyInPandas(merge, SCHEMA)
         if final:
-            done.append(packed.withColumn("level", F.lit(level)))
+            done.append(packed)
             break
         packed = cut(packed)
-        done.append(packed.where("not open").withColumn("level", F.lit(level)))
+        done.append(packed.where("not open"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    number = F.shiftleft(F.col("level").cast("long"), 58) + F.shiftleft("part", 32) + F.col("seq")
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", number.alias("sequence_id"), "offset"]
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("seq").alias("sequence_id"), "offset"]
     return out.select(*columns, *(["ids"] if with_ids else []))

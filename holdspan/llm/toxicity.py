@@ -29,6 +29,8 @@ GRAMS_AT_ONCE = 1 << 16  # n-grams looked up together
 LABELS_AT_HAND = 500_000  # up to so many labels are sent to the tasks, beyond it both sides are shuffled
 CALIBRATION_ROWS = 50_000  # bound of the labelled rows from which the score's scale is fitted
 SHARE = 0.02  # of a toxic text's words that come from the toxic model
+SCARCE = 100.0  # pull on the scale when one class has a single row
+KEEPING = -2.5  # logit of a text about which nothing is known
 MOST = 6.0  # nats that one word can add
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>"
 START, END, BLANK = "\x02", "\x03", "\x04"
@@ -252,19 +254,25 @@ def with_features(rows: DataFrame, shared: Broadcast, kind: str) -> DataFrame:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[float, float, float]:
-    """Newton's method for two features and a constant; few rows or one class give a cautious scale."""
-    if len(y) < 20 or y.min() == y.max():
-        return (50.0, 2.0, -2.5)
-    spread = x.std(axis=0) + 1e-9
+    """Newton's method for two features and a constant, pulled towards a scale that keeps everything.
+
+    The pull falls with the square of the rows in the smaller class: among a hundred it is nothing, of a
+    few the weights of both features stay near 0 and the constant near ``KEEPING``, as without any rows.
+    """
+    fewer = max(1.0, min(y.sum(), len(y) - y.sum()))
+    ridge += SCARCE / fewer**2
+    spread = (x.std(axis=0) if len(x) else np.zeros(2)) + 1e-9
     z = np.column_stack([x / spread, np.ones(len(x))])
+    rest = np.array([0.0, 0.0, KEEPING])
     w = np.zeros(3)
+    pull = np.full(3, ridge)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         pull = ridge * np.array([1, 1, 0])
-        slope = z.T @ (p - y) + pull * w
+        slope = z.T @ (p - y) + pull * (w - rest)
         curve = (z * (p * (1 - p))[:, None]).T @ z + np.diag(pull + 1e-9)
-        step = np.linalg.solve(curve, slope)
-        w -= step
+        step = np.linalg.solve(curve, slope) + 1e-300
+        w -= step * min(1.0, 4.0 / np.abs(step).max())
         if np.abs(step).max() < 1e-8:
             break
     return float(w[0] / spread[0]), float(w[1] / spread[1]), float(w[2])

@@ -99,3 +99,12 @@ def test_filter(n):
 def test_a_filter_that_is_too_full_says_so():
     table = CuckooFilter(np.zeros((4, 4), np.uint16))
     assert not table.insert(np.arange(1, 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def test_columns_of_the_same_names(documents):
+    """Columns that the operator adds replace those of the input; names that it uses inside do not clash."""
+    rows = [(i, "a line that is long enough to be dropped, all the same\nown") for i in range(6)]
+    docs = documents(rows).withColumnsRenamed({"lang": "_drop", "source": "_of", "n_chars": "_kept"})
+    got = linededup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "_drop", "_of", "_kept", "_n_lines", "_n_dropped", "_kept_sha256"]
+    assert sorted((r.doc_id, r._n_dropped, r._kept) for r in got.collect()) == [(i, 1, "own") for i in range(5)] + [(5, 0, rows[5][1])]

@@ -3,11 +3,12 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks.compare import compare, connect
-from holdspan.llm import jaccard, linededup, toxicity
-from holdspan.llm.queries import ORACLES, QUERIES
+from holdspan.llm import jaccard, linededup, mixing, toxicity
+from holdspan.llm.queries import MIX_WEIGHTS, ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,6 +78,43 @@ def test_stages_follow_their_input(spark, tmp_path):
     assert sum(r.length for r in pieces) == sum({r.doc_id: r.doc_tokens for r in pieces}.values())
 
 
+def test_sequences_follow_the_mixture(spark):
+    """The first document of each sequence has a later place in the schedule than that of the one before."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mixed = corpus_pipeline.mix(spark, docs, SF).coalesce(1)
+    place = {(r.doc_id): (r._slot, r._inside_block) for r in mixing.schedule(docs, MIX_WEIGHTS).collect()}
+    pieces = corpus_pipeline.pack(spark, mixed.repartition(3, "doc_id"), SF).collect()
+    first = {}
+    for r in pieces:
+        at = (*place[r.doc_id], r.start)
+        first[r.sequence_id] = min(at, first.get(r.sequence_id, at))
+    order = [first[k] for k in sorted(first)]
+    assert len(order) > 20 and order == sorted(order)
+
+
+CLASHING = ["_gone", "_drop", "_kept", "_n_dropped", "_slot", "_mix", "_key", "node", "root", "row", "h1", "component_id", "_of"]
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_stages_take_odd_rows_and_extra_columns(spark, some):
+    """Null values in any column, empty and very long texts, repeated rows, no rows, and names used inside."""
+    line = "one long line which many of the documents have among their lines"
+    rows = [(i, f"{line}\nown words of number {i} " * 9, "en", f"src{i % 3}", 5) for i in range(9)]
+    rows += [rows[0], rows[0], (1, None, None, None, None), (None, "no id", "en", "src0", 5), (None, None, None, None, None)]
+    rows += [(20, "", "en", "", 0), (21, "long " * 30_000, "en", "src1", None), (22, "\n \n", None, "other", 4)]
+    docs = spark.createDataFrame(rows if some else [], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in CLASHING:
+        docs = docs.withColumn(name, F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "packing":
+            assert out.columns == docs.columns, name
+        got = out.collect()
+        if name in ("line_dedup", "mixing_sources"):
+            assert len(got) == docs.count()
+        assert some or not got
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() > 0 and got.columns[:2] == ["doc_id", "start"]

@@ -114,3 +114,23 @@ def test_a_long_word_is_looked_up_in_slices(model, monkeypatch):
     whole = scorer.scores(words)
     monkeypatch.setattr(toxicity, "GRAMS_AT_ONCE", 7)
     assert np.allclose(scorer.scores(words), whole) and whole[2] == 0.0
+
+
+@pytest.mark.parametrize("toxic", [0, 1, 2])
+def test_a_handful_of_labels_drops_nothing(documents, spark, toxic):
+    """Thirty documents of common words, thirteen with a label, one or none of them toxic."""
+    words = "the market opened early and people bought bread milk apples fish cheese tea some more today".split()
+    rows = [(i, " ".join(words[(i * k) % 16] for k in range(1, 25))) for i in range(30)]
+    labels = [(i, int(i < toxic)) for i in range(13)]
+    docs, marks = documents(rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert toxicity.without_toxic(docs, toxicity.train(docs, marks)).count() == 30
+    assert np.isfinite(toxicity.train(docs, marks).scale).all()
+
+
+def test_the_pull_of_the_scale_is_smooth():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 19, 20, 21):
+        assert toxicity.logistic(rng.normal(size=(n, 2)), np.zeros(n))[2] <= toxicity.KEEPING + 1e-9
+    x = rng.normal(size=(4000, 2))
+    y = (x @ [3.0, 1.0] - 2 > rng.logistic(size=4000)).astype(float)
+    assert np.allclose(toxicity.logistic(x, y), (3.0, 1.0, -2.0), atol=0.3)
