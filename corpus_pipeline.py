@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdspan.llm import jaccard, linededup, mixing, packing, toxicity
-from holdspan.llm.common import cut, table
+from holdspan.llm.common import cut, table, unused
 from holdspan.llm.queries import MIX_WEIGHTS
 
 TOXIC = 0.7  # documents scored so high go
@@ -31,36 +31,47 @@ def keep_ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the long lines that five or more documents share; every document stays."""
-    deduped = linededup.dedup_lines(docs)
+    """Texts without the long lines that five or more documents share; every document stays.
+
+    Rows without an id lose nothing; a null text stays null. Extra columns may have any name.
+    """
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     changed = F.col("_n_dropped") > 0
-    text = F.when(changed, F.col("_kept")).otherwise(F.col("text"))
-    chars = F.when(changed, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
-    return deduped.withColumns({"text": text, "n_chars": chars}).select(docs.columns)
+    text = F.when(changed, F.col("_kept")).otherwise(F.col("row.text"))
+    chars = F.when(changed, F.length("_kept").cast("long")).otherwise(F.col("row.n_chars"))
+    new = {"text": text.alias("text"), "n_chars": chars.alias("n_chars")}
+    return linededup.dedup_lines(rows).select(*[new.get(c, F.col(f"row.`{c}`")) for c in docs.columns])
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
     Documents without words or without an id are in no group and stay. Of rows that repeat an id, all
-    stay if it is the smallest of its group.
+    stay if it is the smallest of its group. Extra columns may have any name.
     """
     classes = jaccard.similarity_classes(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    gone = classes.where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    of = unused(docs, "_gone")
+    gone = classes.where("doc_id > component_id").select(F.col("doc_id").alias(of)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(of), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixture, in which the next stage packs them.
+    """All documents in the order of the mixture.
 
-    No document goes: the weights decide which ones come first and stand together in sequences.
+    No document goes: the weights decide which ones come first and stand together in sequences. Null
+    and unnamed sources share a weight; repeated rows are all kept.
     """
     return mixing.mix_sources(docs, MIX_WEIGHTS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in the training sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), SEQUENCE_TOKENS, end_id=1)
+    """Where each piece of each document stands in the training sequences, numbered as the mixture has them.
+
+    Files are not read back in the order in which they were written, so documents are dealt out by the
+    slots of the same schedule again. Null texts are their end id alone; repeated rows are packed each.
+    """
+    mixed = mixing.mix_sources(docs.select("doc_id", "text", "source"), MIX_WEIGHTS)
+    return packing.pack(mixed, public_tokenizers.path("byte_bpe_50k.json"), SEQUENCE_TOKENS, end_id=1)
 
 
 STAGES = [
