@@ -261,18 +261,18 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
     """
     fewer = max(1.0, min(y.sum(), len(y) - y.sum()))
     ridge += SCARCE / fewer**2
-    spread = (x.std(axis=0) if len(x) else np.zeros(2)) + 1e-9
+    spread = x.std(axis=0) if len(x) else np.ones(2)
+    spread = np.where(spread > 1e-9, spread, 1.0)
     z = np.column_stack([x / spread, np.ones(len(x))])
     rest = np.array([0.0, 0.0, KEEPING])
     w = np.zeros(3)
     pull = np.full(3, ridge)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        pull = ridge * np.array([1, 1, 0])
         slope = z.T @ (p - y) + pull * (w - rest)
         curve = (z * (p * (1 - p))[:, None]).T @ z + np.diag(pull + 1e-9)
-        step = np.linalg.solve(curve, slope) + 1e-300
-        w -= step * min(1.0, 4.0 / np.abs(step).max())
+        step = np.linalg.solve(curve, slope)
+        w -= step * 4.0 / max(4.0, np.abs(step).max())
         if np.abs(step).max() < 1e-8:
             break
     return float(w[0] / spread[0]), float(w[1] / spread[1]), float(w[2])
