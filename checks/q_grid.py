@@ -354,6 +354,57 @@ def probabilities(fx, by="month"):
     return grid.exceedance(grid.exposure_grid(grid.with_grouping(c, by), axis), ("facet",), STEP)
 
 
+def steps(fx):
+    c = grid.with_grouping(cube(fx), "month")
+    return grid.exceedance_steps(grid.exposure_grid(c, grid.axis_from_cube(c, STEP)), ("facet",), STEP)
+
+
+part("step_rows", """
+    select site_id, series_id, facet, hour, n_buckets, exceedance, max(density) as density,
+           min(bucket) as first_bucket, max(bucket) as last_bucket
+    from (select *, coalesce(sum(case when density > 0 then 1 else 0 end) over (
+                 partition by site_id, series_id, facet, hour order by bucket rows between unbounded preceding and 1 preceding), 0) as run
+          from dense_month) q
+    group by site_id, series_id, facet, hour, n_buckets, exceedance, run""")
+
+
+@query("exceedance_steps", f"""
+    select site_id, series_id, facet, hour, n_buckets, first_bucket, last_bucket, first_bucket * 50.0::double as first_edge,
+           {r('exceedance')} as exceedance, {r('density')} as density from step_rows""")
+def exceedance_steps(fx):
+    return steps(fx)
+
+
+# Within the axis, on an edge, and above every series' axis.
+ASKED = (0.0, 420.0, 1000.0, 2510.5, 10_000_000.0)
+
+
+@query("probability_at", f"""
+    select site_id, series_id, facet, hour, threshold, {r('exceedance')} as exceedance, {r('density')} as density
+    from dense_month join (values {", ".join(f"({t}::double)" for t in ASKED)}) v(threshold)
+      on bucket = least(ceil(threshold / 50), n_buckets - 1)""")
+def probability_at(fx):
+    found = [grid.probability_at(steps(fx), ASKED, STEP, m) for m in ("exceedance", "density")]
+    return found[0].join(found[1], [*KEYS, "facet", "hour", "threshold"])
+
+
+@query("axis_from_cube", "select * from axis")
+def axis_from_cube(fx):
+    return grid.axis_from_cube(cube(fx), STEP)
+
+
+@query("density_runs", """
+    select site_id, series_id, facet, hour, level, min(bucket) as first_bucket, max(bucket) as last_bucket
+    from (select *, sum(starts) over (partition by site_id, series_id, facet, hour order by bucket) as run
+          from (select *, case when lag(level) over w = level and lag(bucket) over w = bucket - 1 then 0 else 1 end as starts
+                from (select *, cast(least(floor(power(density, 0.6) * 10), 9) as int) as level
+                      from dense_month where density > 0 and density >= 0.005) a
+                window w as (partition by site_id, series_id, facet, hour order by bucket)) b) c
+    group by site_id, series_id, facet, hour, run, level""")
+def density_runs(fx):
+    return grid.level_runs(steps(fx), "density")
+
+
 @query("exceedance", f"""
     select site_id, series_id, facet, hour, bucket, bucket * 50.0::double as edge, {r('exceedance')} as exceedance from dense_month""")
 def exceedance(fx):
@@ -439,7 +490,7 @@ def probability_table(fx):
     c = cube(fx)
     axis = grid.axis_max(fx.fx_spans, STEP)
     seen = grid.all_hours(grid.columns_seen(grid.with_grouping(c, "month")), ("facet",))
-    return grid.probability_table(probabilities(fx), seen, axis, STEP)
+    return grid.probability_table(steps(fx), seen, axis, STEP)
 
 
 @query("level_runs", """
@@ -451,7 +502,7 @@ def probability_table(fx):
                 window w as (partition by site_id, series_id, facet, hour order by bucket)) b) c
     group by site_id, series_id, facet, hour, run, level""")
 def level_runs(fx):
-    return grid.level_runs(probabilities(fx))
+    return grid.level_runs(steps(fx))
 
 
 # ---- coverage --------------------------------------------------------------------------------

@@ -32,20 +32,30 @@ def _usable(samples: DataFrame) -> DataFrame:
 def exposure_cube(
     samples: DataFrame, tz: str | Column, step: float, keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """Seconds and pieces per series, local day, hour and bucket, before any top is applied."""
+    """Seconds and pieces per series, local day, hour and bucket, before any top is applied.
+
+    ``on_edge`` are the seconds that rounding up leaves in the same bucket: values on its lower edge, and
+    those that are not positive. With them the axis comes from the cube as well.
+    """
     value = F.col("value")
     usable = _usable(samples)
+    low = B.raw_bucket(value, step)
     return (
         hour_slices(usable, tz)
         .select(
             *keys,
             "day",
             "hour",
-            B.raw_bucket(value, step).alias("low"),
+            low.alias("low"),
             "seconds",
+            F.when(B.raw_bucket_up(value, step) == low, F.col("seconds")).otherwise(F.lit(0)).alias("on_edge"),
         )
         .groupBy(*keys, "day", "hour", "low")
-        .agg(F.sum("seconds").alias("seconds"), F.count(F.lit(1)).alias("slices"))
+        .agg(
+            F.sum("seconds").alias("seconds"),
+            F.count(F.lit(1)).alias("slices"),
+            F.sum("on_edge").alias("on_edge"),
+        )
     )
 
 
@@ -65,12 +75,34 @@ def axis_max(
         .groupBy(*keys, "high")
         .agg(F.sum(held).alias("weight"))
     )
+    return _quantile_axis(weights, step, share, keys)
+
+
+def axis_from_cube(cube: DataFrame, step: float, quantile: float = 0.999, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The axis of ``axis_max`` from the cube alone, without a second pass over the samples.
+
+    Seconds per bucket are a mergeable histogram: days and hours are summed up, and each bucket is told
+    apart by the edge that its values are rounded up to.
+    """
+    share = min(max(quantile, 0.0), 1.0)
+    held = cube.groupBy(*keys, "low").agg(F.sum("seconds").alias("seconds"), F.sum("on_edge").alias("on_edge"))
+    ends = F.array(
+        F.struct(F.col("low").alias("high"), F.when(F.col("low") > 0, F.col("on_edge")).otherwise(F.lit(0)).alias("weight")),
+        F.struct((F.col("low") + 1).alias("high"), (F.col("seconds") - F.col("on_edge")).alias("weight")),
+    )
+    seen = held.select(*keys, F.explode(ends).alias("end")).select(*keys, "end.high", "end.weight")
+    weights = seen.groupBy(*keys, "high").agg(F.sum("weight").alias("weight"))
+    return _quantile_axis(weights, step, share, keys)
+
+
+def _quantile_axis(weights: DataFrame, step: float, share: float, keys: Sequence[str]) -> DataFrame:
+    """The first whole step ``high`` that ``share`` of all weight does not exceed, at least one step."""
     over = Window.partitionBy(*keys)
     running = F.sum("weight").over(over.orderBy("high"))
     total = F.sum("weight").over(over)
     reached = weights.select(
         *keys,
-        F.when((F.col("high") > 0) & (running >= total.cast("double") * share), F.col("high")).alias("cut"),
+        F.when((F.col("high") > 0) & (F.col("weight") > 0) & (running >= total.cast("double") * share), F.col("high")).alias("cut"),
     )
     axis = reached.groupBy(*keys).agg(F.coalesce(F.min("cut"), F.lit(1)).alias("steps"))
     top = F.col("steps") * F.lit(step)
@@ -141,41 +173,102 @@ def full_days(
     )
 
 
-def exceedance(grid: DataFrame, by: Sequence[str] = ("facet",), step: float = 50.0, keys: Sequence[str] = KEYS) -> DataFrame:
-    """``P(value >= edge)`` and the share inside each bucket, for every bucket of a seen column.
+def exceedance_steps(
+    grid: DataFrame, by: Sequence[str] = ("facet",), step: float = 50.0, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """The exceedance of every seen column as a step function of the bucket: a row for each bucket with time.
 
-    The tail is a step function of the bucket, so each bucket with time in it also answers for the
-    empty ones below it: one window and an explode, no dense spine to join.
+    ``P(value >= edge)`` is the same from the bucket above the last one with time (``first_bucket``) up to
+    the row's own (``last_bucket``), which alone has ``density``; a last row says that nothing lies above
+    the top one. So rows follow what was measured, however long the axis.
     """
     column = Window.partitionBy(*keys, *by, "hour")
     upward = column.orderBy("bucket")
-    tail = F.sum("seconds").over(column.orderBy(F.col("bucket").desc()))
+    total = F.sum("seconds").over(column)
     known = grid.filter("seconds > 0").select(
         *keys,
         *by,
         "hour",
-        F.col("bucket").alias("own"),
-        "seconds",
         "n_buckets",
-        tail.alias("tail"),
-        F.sum("seconds").over(column).alias("total"),
         (F.coalesce(F.lag("bucket").over(upward), F.lit(-1)) + 1).alias("first"),
+        F.col("bucket").alias("last"),
+        (F.sum("seconds").over(column.orderBy(F.col("bucket").desc())) / total).alias("exceedance"),
+        (F.col("seconds") / total).alias("density"),
         F.lead("bucket").over(upward).isNull().alias("is_top"),
     )
-    last = F.when(F.col("is_top"), F.col("n_buckets") - 1).otherwise(F.col("own"))
+    top = F.col("n_buckets") - 1
+    own = F.struct(F.col("first"), F.col("last"), F.col("exceedance"), F.col("density"))
+    above = F.struct(
+        (F.col("last") + 1).alias("first"), top.alias("last"), F.lit(0.0).alias("exceedance"), F.lit(0.0).alias("density")
+    )
+    ranges = F.when(F.col("is_top") & (F.col("last") < top), F.array(own, above)).otherwise(F.array(own))
+    return known.select(*keys, *by, "hour", "n_buckets", F.explode(ranges).alias("r")).select(
+        *keys,
+        *by,
+        "hour",
+        F.col("r.first").cast("bigint").alias("first_bucket"),
+        F.col("r.last").cast("bigint").alias("last_bucket"),
+        (F.col("r.first") * F.lit(step)).alias("first_edge"),
+        "r.exceedance",
+        "r.density",
+        "n_buckets",
+    )
+
+
+def exceedance(grid: DataFrame, by: Sequence[str] = ("facet",), step: float = 50.0, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``P(value >= edge)`` and the share inside each bucket, for every bucket of a seen column.
+
+    The step function written out: as many rows as the axis has buckets. For axes of unknown length keep
+    to :func:`exceedance_steps` and ask with :func:`probability_at`.
+    """
     bucket = F.col("bucket")
-    return known.withColumn("bucket", F.explode(F.sequence("first", last))).select(
+    steps = exceedance_steps(grid, by, step, keys)
+    return steps.withColumn("bucket", F.explode(F.sequence("first_bucket", "last_bucket"))).select(
         *keys,
         *by,
         "hour",
         "bucket",
         (bucket * F.lit(step)).alias("edge"),
-        F.when(bucket <= F.col("own"), F.col("tail") / F.col("total")).otherwise(F.lit(0.0)).alias("exceedance"),
-        F.when(bucket == F.col("own"), F.col("seconds") / F.col("total")).otherwise(F.lit(0.0)).alias("density"),
+        "exceedance",
+        F.when(bucket == F.col("last_bucket"), F.col("density")).otherwise(F.lit(0.0)).alias("density"),
         "n_buckets",
     )
 
 
+def _cell(metric: str, bucket: Column) -> Column:
+    """A step function's value at a bucket of its row."""
+    if metric == "exceedance":
+        return F.col("exceedance")
+    return F.when(bucket == F.col("last_bucket"), F.col("density")).otherwise(F.lit(0.0))
+
+
+def _looked_up(steps: DataFrame, asked: Column, metric: str) -> DataFrame:
+    """``steps`` with a row for each of ``asked`` (threshold, bucket) that falls into them, as ``threshold`` and ``cell``."""
+    inside = F.filter(asked, lambda m: m["bucket"].between(F.col("first_bucket"), F.col("last_bucket")))
+    found = steps.withColumn("_mark", F.explode(inside))
+    return found.withColumns({"threshold": F.col("_mark.threshold"), "cell": _cell(metric, F.col("_mark.bucket"))}).drop("_mark")
+
+
+def probability_at(
+    steps: DataFrame,
+    thresholds: Sequence[float],
+    step: float,
+    metric: str = "exceedance",
+    by: Sequence[str] = ("facet",),
+    keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """The probability of reaching each threshold, rounded up to an edge or down to the top one; an as-of look-up."""
+    marks = F.array(
+        *[
+            F.struct(
+                F.lit(float(t)).alias("threshold"), B.bucket_at_least(F.lit(float(t)), step, F.col("n_buckets")).alias("bucket")
+            )
+            for t in thresholds
+        ]
+    )
+    return _looked_up(steps, marks, metric).select(*keys, *by, "hour", "threshold", F.col("cell").alias(metric))
+
+
 def column_status(seconds: Column, days: Column, min_days: int = 3) -> Column:
     """``empty`` without time, ``thin`` below ``min_days`` distinct days, else ``sufficient``."""
     nothing = seconds.isNull() | (seconds <= 0) | (days == 0)
@@ -301,7 +394,7 @@ def facets_never_reaching(windows: DataFrame) -> DataFrame:
 
 
 def probability_table(
-    probabilities: DataFrame,
+    steps: DataFrame,
     columns: DataFrame,
     axis: DataFrame,
     step: float,
@@ -310,18 +403,18 @@ def probability_table(
 ) -> DataFrame:
     """Rounded thresholds by 24 hours per facet, NULL for insufficient columns, and a row of days.
 
-    ``probabilities`` and ``columns`` are per facet; the days row has a NULL threshold.
+    ``steps`` (:func:`exceedance_steps`) and ``columns`` are per facet; the days row has a NULL threshold.
+    A series has a handful of thresholds, which travel to its steps as one array.
     """
     n = F.col("n_buckets")
     first = F.least(F.lit(1), n - 1) if metric == "exceedance" else F.lit(0)
     marks = B.nice_thresholds((first * F.lit(step)).cast("double"), ((n - 1) * F.lit(step)).cast("double"))
-    wanted = axis.withColumn("threshold", F.explode(marks)).select(
-        *keys, "threshold", B.bucket_index(F.col("threshold"), step, n).alias("bucket")
-    )
+    asked = F.transform(marks, lambda t: F.struct(t.alias("threshold"), B.bucket_index(t, step, n).alias("bucket")))
+    wanted = axis.select(*keys, asked.alias("_asked"))
     shown = columns.filter("status = 'sufficient'").select(*keys, "facet", "hour")
     cells = (
-        probabilities.select(*keys, "facet", "hour", "bucket", F.col(metric).alias("cell"))
-        .join(wanted, [*keys, "bucket"])
+        _looked_up(steps.join(wanted, list(keys)), F.col("_asked"), metric)
+        .select(*keys, "facet", "hour", "threshold", "cell")
         .join(shown.withColumn("shown", F.lit(True)), [*keys, "facet", "hour"], "left")
         .select(*keys, "facet", "threshold", "hour", F.when(F.col("shown"), F.col("cell")).alias("cell"))
     )
@@ -337,7 +430,7 @@ def probability_table(
 
 
 def level_runs(
-    probabilities: DataFrame,
+    steps: DataFrame,
     metric: str = "exceedance",
     levels: int = 10,
     gamma: float = 0.6,
@@ -345,16 +438,25 @@ def level_runs(
     by: Sequence[str] = ("facet",),
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Maximal runs of neighbouring buckets with one level, column by column; blanks break runs."""
+    """Maximal runs of neighbouring buckets with one level, column by column; blanks break runs.
+
+    A row of ``steps`` (:func:`exceedance_steps`) has one level, and runs are joined from rows.
+    """
     n = F.col("n_buckets")
-    first = F.least(F.lit(1), n - 1) if metric == "exceedance" else F.lit(0)
+    least = F.least(F.lit(1), n - 1) if metric == "exceedance" else F.lit(0)
+    first = F.col("first_bucket") if metric == "exceedance" else F.col("last_bucket")
     level = B.probability_level(F.col(metric), levels, gamma, min_probability)
     column = [*keys, *by, "hour"]
-    inked = probabilities.filter(F.col("bucket") >= first).withColumn("level", level).filter("level is not null")
-    island = F.col("bucket") - F.row_number().over(Window.partitionBy(*column, "level").orderBy("bucket"))
+    inked = (
+        steps.select(*column, F.greatest(first, least).alias("first_bucket"), "last_bucket", level.alias("level"))
+        .filter("level is not null and first_bucket <= last_bucket")
+    )
+    upward = Window.partitionBy(*column).orderBy("first_bucket")
+    before = (F.lag("level").over(upward) == F.col("level")) & (F.lag("last_bucket").over(upward) + 1 == F.col("first_bucket"))
+    started = inked.withColumn("_new", F.when(before, F.lit(0)).otherwise(F.lit(1)))
     return (
-        inked.withColumn("_island", island)
-        .groupBy(*column, "level", "_island")
-        .agg(F.min("bucket").alias("first_bucket"), F.max("bucket").alias("last_bucket"))
-        .drop("_island")
+        started.withColumn("_run", F.sum("_new").over(upward))
+        .groupBy(*column, "level", "_run")
+        .agg(F.min("first_bucket").alias("first_bucket"), F.max("last_bucket").alias("last_bucket"))
+        .drop("_run")
     )

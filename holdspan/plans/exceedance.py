@@ -21,19 +21,21 @@ def exceedance_report(
 ) -> dict[str, DataFrame]:
     """Every table of the report, all from one cube per series, day, hour and bucket.
 
+    Probabilities are step functions over the axis, a row for each bucket that was seen.
+
     ``settle`` is applied to the cube before the tables branch off it: pass
     :func:`holdspan.operators.settle.settled` when many are wanted, so that samples are cut once.
     """
     step, g = options.step, options.grouping
     cube = settle(grid.exposure_cube(samples, tz, step, keys))
     if options.max_value is None:
-        axis = grid.axis_max(samples, step, options.quantile, keys)
+        axis = grid.axis_from_cube(cube, step, options.quantile, keys)
     else:
         axis = grid.fixed_axis(samples, step, options.max_value, keys)
     faceted = grid.with_grouping(cube, g)
     span = coverage.spans(samples, tz, keys)
     possible = coverage.possible_days(span, g, keys)
-    probabilities = grid.exceedance(grid.exposure_grid(faceted, axis, ("facet",), keys), ("facet",), step, keys)
+    steps = grid.exceedance_steps(grid.exposure_grid(faceted, axis, ("facet",), keys), ("facet",), step, keys)
     columns = grid.facet_columns(cube, possible, g, options.min_days, keys)
     ask = (step, options.threshold, options.probability, options.min_days)
     windows = grid.reliable_window(faceted, axis, *ask, ("facet",), keys)
@@ -47,7 +49,7 @@ def exceedance_report(
     )
     return {
         "axis": axis,
-        "probabilities": probabilities,
+        "probabilities": steps,
         "columns": columns,
         "pooled_columns": grid.pooled_columns(cube, options.min_days, keys),
         "season_columns": grid.season_columns(cube, options.min_days, keys),
@@ -55,6 +57,6 @@ def exceedance_report(
         "overall_window": grid.reliable_window(cube, axis, *ask, (), keys),
         "season_windows": grid.reliable_window(halves, axis, *ask, ("facet",), keys),
         "never_reaching": grid.facets_never_reaching(windows),
-        "table": grid.probability_table(probabilities, columns, axis, step, options.metric, keys),
+        "table": grid.probability_table(steps, columns, axis, step, options.metric, keys),
         "coverage": coverage.coverage_flags(summary),
     }

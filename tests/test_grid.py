@@ -119,3 +119,55 @@ def test_same_result_for_any_number_of_partitions(spark, samples_of):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen[0] == seen[1] == seen[2]
+
+
+def steps_of(given, step=50.0, top=None):
+    cube = grid.with_grouping(grid.exposure_cube(given, "UTC", step), "month")
+    axis = grid.axis_from_cube(cube, step, 1.0) if top is None else grid.fixed_axis(given, step, top)
+    return grid.exceedance_steps(grid.exposure_grid(cube, axis), ("facet",), step), cube, axis
+
+
+def test_rows_follow_readings_not_the_length_of_the_axis(spark, samples_of):
+    """A value a million times larger changes no number of rows, nor does an axis of 10^11 steps."""
+    readings = [noon(d, v) for d in range(6) for v in (0, 75, 100, 420)]
+    plain, cube, axis = steps_of(samples_of([*readings, noon(7, 900)]))
+    far, far_cube, far_axis = steps_of(samples_of([*readings, noon(7, 900e6)]))
+    assert plain.count() == far.count() == 5
+    shape = ("exceedance", "density")
+    assert rows(plain, *shape) == rows(far, *shape)
+    huge, _, _ = steps_of(samples_of(readings), 50.0, 5e12)
+    assert huge.agg(F.max("n_buckets")).first()[0] == 10**11 + 1
+    assert rows(huge, "first_bucket", "last_bucket")[-1] == (9, 10**11)
+    for steps, made, top in ((plain, cube, axis), (far, far_cube, far_axis)):
+        seen = grid.all_hours(grid.columns_seen(made), ("facet",))
+        assert 2 <= grid.probability_table(steps, seen, top, 50.0).count() <= 20
+        assert grid.level_runs(steps).count() >= 1
+        asked = grid.probability_at(steps, [100.0, 420.0], 50.0)
+        assert rows(asked, "threshold", "exceedance") == [(100.0, 13 / 25), (420.0, 1 / 25)]
+
+
+def test_steps_written_out_are_dense(spark, samples_of):
+    rng = random.Random(3)
+    given = samples_of([noon(rng.randrange(40), rng.choice([0, -4, 50, 99.9, 250, 800, 1200])) for _ in range(80)])
+    steps, cube, axis = steps_of(given, 50.0, 1000.0)
+    dense = grid.exceedance(grid.exposure_grid(cube, axis), ("facet",), 50.0).collect()
+    known = steps.collect()
+    assert len(dense) == 21 * len({(r.facet, r.hour) for r in dense})
+    for r in dense:
+        (s,) = [s for s in known if (s.facet, s.hour) == (r.facet, r.hour) and s.first_bucket <= r.bucket <= s.last_bucket]
+        assert r.exceedance == s.exceedance and r.density == (s.density if r.bucket == s.last_bucket else 0.0)
+
+
+def test_the_axis_comes_from_the_cube(spark, samples_of):
+    rng = random.Random(9)
+    at, given = JUNE, []
+    for _ in range(300):
+        held = rng.randint(1, 20_000)
+        given.append((at, at + held, rng.choice([-5, 0, 50, 100, 3000, 1e9, rng.uniform(1, 4_000)])))
+        at += held
+    samples = samples_of([*given, (at, at + 9, float("inf")), (at, at, 1e12)])
+    cube = grid.exposure_cube(samples, "Europe/Berlin", 50.0)
+    for q in (0.0, 0.3, 0.5, 0.9, 0.999, 1.0):
+        assert grid.axis_from_cube(cube, 50.0, q).collect() == grid.axis_max(samples, 50.0, q).collect()
+    below = samples_of([(JUNE, JUNE + 60, -3), (JUNE, JUNE + 60, 0)])
+    assert grid.axis_from_cube(grid.exposure_cube(below, "UTC", 50.0), 50.0).first().n_buckets == 2

@@ -67,3 +67,13 @@ def test_a_settled_cube_gives_the_same_tables(spark, landed, tmp_path):
     for name in ("windows", "columns", "coverage"):
         assert sorted(map(str, kept[name].collect())) == sorted(map(str, plain[name].collect()))
     assert any(tmp_path.iterdir())
+
+
+def test_the_report_cuts_samples_once(spark, landed, tmp_path):
+    """With a settled cube no table but the record's span and outages reads a sample again."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    tables = exceedance_report(I.state_samples(landed, 900), TZ, GridOptions(), settle=settled)
+    for name in ("axis", "probabilities", "windows", "overall_window", "season_windows", "pooled_columns", "season_columns"):
+        plan = plan_of(tables[name])
+        assert "FileScan" not in plan and "Scan ExistingRDD" in plan, name
+    assert "explode(sequence" not in plan_of(tables["table"]) + plan_of(tables["probabilities"])
