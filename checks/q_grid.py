@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.fixtures import TZ
-from checks.registry import part, query, r
+from checks.registry import CTES, part, query, r
 from holdspan.functions import buckets as B
 from holdspan.functions import calendar as C
 from holdspan.operators import coverage, grid, intervals

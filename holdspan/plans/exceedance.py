@@ -7,8 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 
 from holdspan import KEYS
-from holdspan.options import GridOptions
+from holdspan.options import GridOptions, ReadOptions
 from holdspan.operators import coverage, grid
+from holdspan.operators.settle import settled
+from holdspan.sources.load import Tables, load_samples
 
 
 def exceedance_report(
@@ -60,3 +62,21 @@ def exceedance_report(
         "table": grid.probability_table(steps, columns, axis, step, options.metric, keys),
         "coverage": coverage.coverage_flags(summary),
     }
+
+
+def recorded_exceedance(
+    requests: DataFrame,
+    tables: Tables,
+    read: ReadOptions = ReadOptions(),
+    options: GridOptions = GridOptions(),
+    settle: Callable[[DataFrame], DataFrame] = settled,
+) -> dict[str, DataFrame]:
+    """The report straight from recorder tables, for the requested power series, with where they came from.
+
+    Negative power counts as none. ``provenance`` and ``refused`` are those of the load.
+    """
+    loaded = load_samples(
+        requests, tables.meta, tables.statistics, tables.short_term, tables.states, "power", read, clamp=True, settle=settle
+    )
+    report = exceedance_report(loaded.samples, read.tz, options, read.gap_threshold, settle=settle)
+    return report | {"provenance": loaded.provenance, "refused": loaded.refused}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 
-from holdspan.options import Economics, StoreOptions
+from holdspan import KEYS
+from holdspan.options import Economics, ReadOptions, StoreOptions
 from holdspan.operators import coverage, energy, store
+from holdspan.operators.settle import settled
+from holdspan.sources.load import Tables, load_samples
 
 
 def payback_report(
@@ -40,3 +43,24 @@ def payback_report(
         "calendar": coverage.paired_calendar(steps, tz, keys),
         "outages": coverage.outages(energy.steps_as_samples(steps, keys), 86_400, keys),
     }
+
+
+def recorded_payback(
+    roles: DataFrame,
+    tables: Tables,
+    sizes: Sequence[float],
+    read: ReadOptions = ReadOptions(),
+    settle: Callable[[DataFrame], DataFrame] = settled,
+    **report,
+) -> dict[str, DataFrame]:
+    """The report straight from recorder tables: ``roles`` names each site's import and export series.
+
+    ``roles``: keys and ``role``. Negative power counts as none; further arguments are those of
+    :func:`payback_report`. ``provenance`` and ``refused`` are those of the load.
+    """
+    loaded = load_samples(
+        roles, tables.meta, tables.statistics, tables.short_term, tables.states, "power", read, clamp=True, settle=settle
+    )
+    samples = loaded.samples.join(roles.select(*KEYS, "role").distinct(), list(KEYS)).drop("series_id")
+    made = payback_report(samples, sizes, read.tz, **report)
+    return made | {"provenance": loaded.provenance, "refused": loaded.refused}

@@ -10,6 +10,7 @@ from holdspan.operators import intervals as I
 from holdspan.operators.settle import settled
 from holdspan.options import GridOptions
 from holdspan.plans.exceedance import exceedance_report
+from holdspan.sources.load import Tables, decide, load_samples
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = all_queries()
@@ -77,3 +78,22 @@ def test_the_report_cuts_samples_once(spark, landed, tmp_path):
         plan = plan_of(tables[name])
         assert "FileScan" not in plan and "Scan ExistingRDD" in plan, name
     assert "explode(sequence" not in plan_of(tables["table"]) + plan_of(tables["probabilities"])
+
+
+def test_loading_scans_each_table_once(spark, tmp_path):
+    """The decision is settled from ids alone; then each table is read once, for the series it answers for."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2_000)
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "shared"))
+    fx, landed = Fixtures(spark, SF), {}
+    for name in ("fx_meta", "fx_statistics", "fx_short", "fx_states"):
+        getattr(fx, name).write.parquet(str(tmp_path / name))
+        landed[name] = spark.read.parquet(str(tmp_path / name))
+    asked = landed["fx_meta"].select("site_id", "series_id")
+    loaded = load_samples(asked, *landed.values())
+    plan = plan_of(loaded.samples)
+    assert [plan.count(f"{tmp_path / name}]") for name in landed] == [0, 1, 1, 1]
+    assert plan.count("Exchange hashpartitioning") <= 8
+    deciding = plan_of(decide(asked, Tables(*landed.values())))
+    assert [deciding.count(f"{tmp_path / name}]") for name in landed] == [2, 1, 1, 1]  # meta: what is asked for, and what is known
+    reading = [line for line in deciding.splitlines() if "ReadSchema" in line]
+    assert reading and not any("mean:" in line or "state:" in line for line in reading)
