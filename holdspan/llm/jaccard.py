@@ -127,8 +127,8 @@ def sketch(hashes: np.ndarray, blocks: int) -> bytes:
 
 
 def _node(hashes: np.ndarray) -> int:
-    """An even signed number that stands for a set."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes()) & ~1)))
+    """A signed number that stands for a set; its last two bits are free."""
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes()) & ~3)))
 
 
 def _each_text(docs: DataFrame, make: Callable, schema: str, names: list[str]) -> DataFrame:
@@ -160,7 +160,7 @@ def sets_of(docs: DataFrame, shape: Shape) -> DataFrame:
 
 
 def block_keys(docs: DataFrame, shape: Shape) -> DataFrame:
-    """``key, ref`` for the blocks of every set: ref is the node, plus 1 where this block is a probe.
+    """``key, ref`` for the blocks of every set: the node, plus 1 for a probe, plus 2 in the set's own window.
 
     A set in band k stands in the window of its own band, where it probes for sets that are not larger,
     and in the next one, where larger sets find it. It probes with the blocks that hold most n-grams.
@@ -189,6 +189,7 @@ def block_keys(docs: DataFrame, shape: Shape) -> DataFrame:
                 if window == band:
                     probes = np.argsort(-sizes, kind="stable")
                     ref[probes[: shape.apart(2 * len(h)) + 1]] += 1
+                    ref += 2
                 keys.append(mix(words ^ where).view(np.int64))
                 refs.append(ref)
         empty = np.empty(0, np.int64)
@@ -214,7 +215,7 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]):
 
 
 def shared_blocks(keys: DataFrame) -> DataFrame:
-    """``key, node, probe, centre`` of the blocks that several nodes have and one of them probes.
+    """``key, node, probe, mine, centre`` of the blocks that several nodes have and one of them probes.
 
     Rows come sorted, so a task reads them as a stream; a key of very many nodes is the only thing it
     holds, as numbers. The centre of a block is its smallest node.
@@ -222,11 +223,12 @@ def shared_blocks(keys: DataFrame) -> DataFrame:
 
     def run(batches):
         for key, ref in _runs(batches, ["key", "ref"]):
-            node = ref & ~1
+            node = ref & ~3
             first = np.ones(len(key), bool)
             first[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
             at = np.flatnonzero(first)
             probe = np.maximum.reduceat(ref & 1, at)
+            mine = np.maximum.reduceat(ref & 2, at) >> 1
             key, node = key[at], node[at]
             head = np.ones(len(key), bool)
             head[1:] = key[1:] != key[:-1]
@@ -236,11 +238,11 @@ def shared_blocks(keys: DataFrame) -> DataFrame:
             keep = np.repeat(good, size)
             centre = np.repeat(node[starts], size)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x[keep]) for x in (key, node, probe, centre)], ["key", "node", "probe", "centre"]
+                [pa.array(x[keep]) for x in (key, node, probe, mine, centre)], ["key", "node", "probe", "mine", "centre"]
             )
 
     ordered = keys.repartition("key").sortWithinPartitions("key", "ref")
-    return ordered.mapInArrow(run, "key long, node long, probe long, centre long")
+    return ordered.mapInArrow(run, "key long, node long, probe long, mine long, centre long")
 
 
 def _sliced(rows: DataFrame, slices, *spread_by: str) -> DataFrame:
@@ -267,12 +269,11 @@ def near_links(rows: DataFrame, shape: Shape, every: bool = False) -> DataFrame:
     with it yet; each link found puts two components together, so a block gives fewer links than it
     has components, whatever the number of near pairs.
     """
-    bounds = shape.bounds()
-    columns = ["key", "low", "high", "slice", "node", "probe", "n", "root", "own", "next"]
+    columns = ["key", "low", "high", "slice", "node", "probe", "n", "root", "sketch"]
 
     def run(batches):
         for held_rows in _runs(batches, columns):
-            key, low, high, part, node, probe, n, root, own, following = held_rows
+            key, low, high, part, node, probe, n, root, written = held_rows
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
             starts = np.flatnonzero(new).tolist()
@@ -281,9 +282,7 @@ def near_links(rows: DataFrame, shape: Shape, every: bool = False) -> DataFrame:
                 if b - a < 2 or root[a:b].min() == root[a:b].max() or not probe[a:b].any():
                     continue
                 together = _Labels(root[a:b])
-                bands = np.array([bisect_right(bounds, x) for x in n[a:b].tolist()])
-                window = bands[probe[a:b] > 0].max()  # that of the sets which probe
-                raw = [own[i] if bands[i - a] == window else following[i] for i in range(a, b)]
+                raw = written[a:b]
                 even = len({len(x) for x in raw}) == 1  # else equal keys of different windows, by chance: all are linked
                 sketches = np.frombuffer(b"".join(raw), np.uint16).reshape(b - a, -1) if even else None
                 for i in range(b - a - 1):
@@ -313,10 +312,13 @@ def near_links(rows: DataFrame, shape: Shape, every: bool = False) -> DataFrame:
 
 def _open_blocks(members: DataFrame, roots: DataFrame, content: DataFrame) -> DataFrame:
     """Members of the blocks in which several components meet, with sizes and sketches; large blocks in slices."""
-    placed = members.select("key", "node", "probe").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = members.select("key", "node", "probe", "mine").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"))
     several = several.where("low <> high").select("key", F.ceil(F.col("rows") / BLOCK_ROWS).alias("slices"))
     joined = placed.join(several, "key").join(content.select("node", "n", "own", "next"), "node")
+    # Of a set's two sketches the one for the block's window goes on.
+    sketch = F.when(F.col("mine") == 1, F.col("own")).otherwise(F.col("next"))
+    joined = joined.select("key", "node", "probe", "n", "root", "slices", sketch.alias("sketch"))
     return _sliced(joined, F.col("slices"), "node").drop("slices")
 
 
