@@ -27,6 +27,7 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 SHARD_LINES = 250_000  # distinct lines of a shard: a filter of 1 MB, and a task of a few tens of MB
 SLICE = 256  # texts handled at once
+BATCHES = 4  # parts in which ``load`` inserts: the later ones meet the filters of the earlier ones
 
 KEY = ["h1", "h2"]
 ADDED = ["_kept", "_n_lines", "_n_dropped", "_kept_sha256"]
@@ -67,15 +68,16 @@ def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 class LineIndex:
     """An index in ``folder``, which all executors share. Every change writes new tables and then counts.
 
-    ``shards`` is fixed when the index is made; ``expected`` lines choose it.
+    ``shards`` is fixed when the index is made or loaded; ``expected`` lines choose it.
     """
 
     def __init__(self, spark: SparkSession, folder: str, expected: int = 0, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS):
         self.spark, self.folder = spark, folder
         self.min_chars, self.min_docs = min_chars, min_docs
-        self.shards = 1 << max(3, (expected // SHARD_LINES).bit_length())
+        self.shards = _shards(expected)
         self.version = 0
-        self.logs = 0
+        self.logs: list[str] = []
+        self.plain = True  # each reference stands in the log once
 
     @classmethod
     def temporary(cls, spark: SparkSession, expected: int = 0, **options) -> LineIndex:
@@ -104,16 +106,19 @@ class LineIndex:
         schema = "h1 long, h2 long, doc_id long, change int"
         if not self.logs:
             return self.spark.createDataFrame([], schema).withColumnRenamed("change", "times")
-        log = self.spark.read.schema(schema).parquet(*[f"{self.folder}/refs-{k}" for k in range(1, self.logs + 1)])
+        log = self.spark.read.schema(schema).parquet(*self.logs)
+        if self.plain:
+            return log.withColumnRenamed("change", "times")
         return log.groupBy(*KEY, "doc_id").agg(F.sum("change").alias("times")).where("times > 0")
 
     def _shard(self):
         return F.pmod(F.shiftrightunsigned("h2", 20), F.lit(self.shards)).cast("int").alias("shard")
 
     def _log(self, refs: DataFrame, change: Column) -> DataFrame:
-        path = f"{self.folder}/refs-{self.logs + 1}"
+        path = f"{self.folder}/refs-{len(self.logs) + 1}"
         refs.select(*KEY, "doc_id", change.cast("int").alias("change")).write.parquet(path)
-        self.logs += 1
+        self.plain = not self.logs
+        self.logs.append(path)
         return self.spark.read.parquet(path)
 
     def _count(self, refs: DataFrame) -> DataFrame:
@@ -132,19 +137,46 @@ class LineIndex:
     def insert(self, docs: DataFrame) -> None:
         """Add the documents' lines; a document that is there already gains what is new."""
         added = self._log(references(docs, self.min_chars).distinct(), F.lit(1))
-        batch = cut(self._count(added))
-        looked_up = cut(_look_up(batch, self.filters))
-        fresh = batch.join(looked_up.where("not seen"), ["shard", *KEY], "left_semi")
-        if not self.version:
-            self._write(fresh, _filled(fresh, self.filters))
-            return
-        # Lines that the filters may hold are counted again from the references.
+        looked_up = cut(_look_up(self._count(added), self.filters))
         known = looked_up.where("seen").select(*KEY)
-        again = self._count(self.refs.join(known, KEY, "left_semi"))
+        # Lines that the filters may hold are counted again from the references.
+        self._merge(looked_up, known, self._count(self.refs.join(known, KEY, "left_semi")))
+
+    def load(self, docs: DataFrame, batches: int = BATCHES) -> None:
+        """Fill a new index with ``docs``, in ``batches`` parts by the documents' ids.
+
+        Texts are cut into lines once. No document is in two parts, so a line that the filter may hold
+        only adds to the count that is there, and one that it does not hold is new without a look at
+        the counts. The number of references sets the number of shards.
+        """
+        if self.logs:
+            raise ValueError("only a new index is loaded")
+        staged = f"{self.folder}/staged"
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
+        found = references(docs, self.min_chars).distinct()
+        found.select(*KEY, "doc_id", F.lit(1).alias("change"), part.alias("part")).write.partitionBy("part").parquet(staged)
+        schema = "h1 long, h2 long, doc_id long, change int, part int"
+        stored = self.spark.read.schema(schema).parquet(staged)
+        sizes = {row.part: row.n for row in stored.groupBy("part").agg(F.count("*").alias("n")).collect()}
+        self.shards = _shards(sum(sizes.values()))
+        self._write(self.counts, self.filters)
+        for k in sorted(sizes):
+            looked_up = cut(_look_up(self._count(stored.where(F.col("part") == k)), self.filters))
+            known = looked_up.where("seen").select(*KEY, "n_docs", "last_doc")
+            held = self.counts.join(known.select(*KEY), KEY, "left_semi").select(*KEY, "n_docs", "last_doc")
+            both = held.unionByName(known).groupBy(*KEY)
+            summed = both.agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+            self._merge(looked_up, known, summed.select(self._shard(), *KEY, "n_docs", "last_doc"), len(sizes))
+            self.logs.append(f"{staged}/part={k}")
+
+    def _merge(self, looked_up: DataFrame, known: DataFrame, again: DataFrame, room: int = 1) -> None:
+        """Counts with the new lines of ``looked_up`` as they are and with ``again`` for the ``known`` ones."""
+        fresh = looked_up.where("not seen").drop("seen")
         counts = cut(self.counts.join(known, KEY, "left_anti").unionByName(again).unionByName(fresh))
-        # The filters gain exactly the lines that the counts did not hold.
-        new = counts.join(self.counts.select(*KEY), KEY, "left_anti")
-        self._write(counts, _filled(new, self.filters, counts))
+        # The filters gain exactly the lines that the counts did not hold: fresh ones and false alarms.
+        alarms = again.select("shard", *KEY).join(self.counts.select(*KEY), KEY, "left_anti")
+        new = fresh.select("shard", *KEY).unionByName(alarms)
+        self._write(counts, _filled(new, self.filters, counts, room))
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Take back all references of the documents in ``doc_ids`` (``doc_id``)."""
@@ -159,41 +191,52 @@ class LineIndex:
         """``h1, h2, last_doc`` of the lines in at least ``min_docs`` documents."""
         return self.counts.where(F.col("n_docs") >= self.min_docs).select(*KEY, "last_doc")
 
-    def dropped(self, docs: DataFrame) -> DataFrame:
-        """``doc_id, drop``: digests of the lines that each of ``docs`` loses; only documents that lose any."""
-        held = references(docs, self.min_chars).join(self.shared(), KEY).where("doc_id < last_doc")
+    def dropped(self, docs: DataFrame | None = None) -> DataFrame:
+        """``doc_id, drop``: digests of the lines that each of ``docs`` loses; only documents that lose any.
+
+        Without ``docs`` those of all documents held, from the references.
+        """
+        asked = self.refs.select(*KEY, "doc_id") if docs is None else references(docs, self.min_chars)
+        held = asked.join(self.shared(), KEY).where("doc_id < last_doc")
         both = F.concat(*[F.unhex(F.lpad(F.hex(h), 16, "0")) for h in KEY])
         return held.groupBy("doc_id").agg(F.collect_set(both).alias("drop"))
 
-    def apply(self, docs: DataFrame) -> DataFrame:
+    def apply(self, docs: DataFrame, whole: bool = False) -> DataFrame:
         """All rows and columns of ``docs``, and ``_kept`` text, ``_n_lines``, ``_n_dropped``.
 
-        A row whose id is null keeps all its lines; a null text is one empty line and stays null. Columns
+        ``whole`` says that ``docs`` are the documents held, so their lines need not be cut again. A row whose id is null keeps all its lines; a null text is one empty line and stays null. Columns
         of ``docs`` that have the names of those added are replaced.
         """
         docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
         of, drop = unused(docs, "_of"), unused(docs, "_drop")
-        drops = self.dropped(docs).select(F.col("doc_id").alias(of), F.col("drop").alias(drop))
+        drops = self.dropped(None if whole else docs).select(F.col("doc_id").alias(of), F.col("drop").alias(drop))
         joined = docs.join(drops, F.col("doc_id").cast("long") == F.col(of), "left").drop(of)
         return _without(joined, self.min_chars, drop)
 
 
+def _shards(lines: int) -> int:
+    return 1 << max(3, (lines // SHARD_LINES).bit_length())
+
+
 def _look_up(batch: DataFrame, filters: DataFrame) -> DataFrame:
-    """``shard, h1, h2, seen``: whether the shard's filter may hold the line."""
+    """The counts of ``batch``, and ``seen``: whether the shard's filter may hold the line."""
 
     def run(key: tuple, lines: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-        out = lines[["shard", *KEY]].copy()
+        out = lines.copy()
         if len(stored) and len(out):
             out["seen"] = CuckooFilter.of_bytes(stored["slots"].iloc[0]).contains(out["h1"].to_numpy().view(np.uint64))
         else:
             out["seen"] = False
         return out
 
-    return batch.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(run, "shard int, h1 long, h2 long, seen boolean")
+    return batch.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(run, COUNTS + ", seen boolean")
+
 
+def _filled(new: DataFrame, filters: DataFrame, counts: DataFrame | None = None, room: int = 1) -> DataFrame:
+    """The filters with the lines of ``new``; one that is too full is built again from ``counts``.
 
-def _filled(new: DataFrame, filters: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """The filters with the lines of ``new``; one that is too full is built again from ``counts``."""
+    A new filter has room for ``room`` times its lines.
+    """
 
     def run(key: tuple, lines: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         digests = lines["h1"].to_numpy().view(np.uint64)
@@ -203,7 +246,7 @@ def _filled(new: DataFrame, filters: DataFrame, counts: DataFrame | None = None)
             table = CuckooFilter.of_bytes(stored["slots"].iloc[0])
             fits = total <= table.table.size * 0.9 and table.insert(digests)
         else:
-            table, fits = CuckooFilter.sized(total), True
+            table, fits = CuckooFilter.sized(total * room), True
             while not table.insert(digests):
                 table = CuckooFilter.sized(2 * table.table.size)
         return pd.DataFrame({"shard": [key[0]], "lines": [total], "slots": [table.tobytes() if fits else None]})
@@ -272,14 +315,14 @@ def _falls(line: str, gone: set[bytes], min_chars: int) -> bool:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Index all rows of ``docs`` and drop the lines they share, in one go.
+    """Index all rows of ``docs`` and drop the lines they share.
 
     Lines whose key has at least ``min_chars`` code points and stands in at least ``min_docs`` documents
     stay only in the document with the largest id. All rows and columns come back, with ``_kept``,
-    ``_n_lines``, ``_n_dropped``, ``_kept_sha256``, which replace columns of the same names. Rows without id count for no line and lose none;
-    rows that repeat an id are one document. An empty table gives no rows.
+    ``_n_lines``, ``_n_dropped``, ``_kept_sha256``, which replace columns of the same names. Documents go in
+    by batches, and the filters tell lines met before from new ones. Rows without id count for no line and lose none; rows that repeat an id are one document. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    index = LineIndex.temporary(spark, expected=10 * docs.count(), min_chars=min_chars, min_docs=min_docs)
-    index.insert(docs)
-    return index.apply(docs)
+    index = LineIndex.temporary(spark, min_chars=min_chars, min_docs=min_docs)
+    index.load(docs)
+    return index.apply(docs, whole=True)

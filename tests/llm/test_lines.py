@@ -63,6 +63,55 @@ def test_empty(documents):
     assert linededup.dedup_lines(documents([])).count() == 0
 
 
+def counted(index):
+    return sorted((r.h1, r.h2, r.n_docs, r.last_doc) for r in index.counts.collect())
+
+
+def test_a_load_in_batches_counts_as_one_insertion(documents):
+    rows = corpus(5)
+    one, many = (linededup.LineIndex.temporary(documents(rows).sparkSession) for _ in range(2))
+    one.insert(documents(rows))
+    many.load(documents(rows).repartition(3), batches=5)
+    assert counted(many) == counted(one) and many.version == 6
+    assert sorted(map(tuple, many.refs.select("h1", "h2", "doc_id").collect())) == sorted(
+        map(tuple, one.refs.select("h1", "h2", "doc_id").collect())
+    )
+    with pytest.raises(ValueError):
+        many.load(documents(rows))
+    # What was loaded is changed like what was inserted.
+    docs = documents([(d + 100, t) for d, t in corpus(6) if d is not None])
+    for index in (one, many):
+        index.insert(docs)
+    assert counted(many) == counted(one)
+    for index in (one, many):
+        index.delete(docs.select("doc_id"))
+    assert counted(many) == counted(one)
+
+
+def test_the_filters_decide(documents, monkeypatch):
+    """Without their answers every line of a later batch looks new, and shared lines are not found."""
+    rows = corpus(7)
+    assert found(linededup.dedup_lines(documents(rows))) == left_of(rows)
+    empty = property(lambda self: self.spark.createDataFrame([], linededup.FILTERS))
+    monkeypatch.setattr(linededup.LineIndex, "filters", empty)
+    assert found(linededup.dedup_lines(documents(rows))) != left_of(rows)
+
+
+def test_false_alarms_are_counted_and_join_the_filter(documents, spark):
+    """A line that its filter may hold but the counts do not is new all the same."""
+    index = linededup.LineIndex.temporary(spark)
+    index.insert(documents([(1, LONG[0])]))
+    (line,) = index.counts.collect()
+    twin = (line.h1, line.h2 ^ 1)  # same shard, same fingerprint
+    real, linededup.references = linededup.references, lambda *_: spark.createDataFrame([(*twin, 7)], "h1 long, h2 long, doc_id long")
+    try:
+        index.insert(documents([(7, "")]))
+    finally:
+        linededup.references = real
+    assert counted(index) == sorted([(line.h1, line.h2, 1, 1), (*twin, 1, 7)])
+    assert [r.lines for r in index.filters.collect() if r.lines] == [2]
+
+
 def test_an_insertion_is_undone_by_deletion(documents, spark):
     first, later = corpus(3), [(d + 100, t) for d, t in corpus(4) if d is not None]
     index = linededup.LineIndex.temporary(spark)
