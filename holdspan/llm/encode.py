@@ -8,6 +8,7 @@ whole text; frequent pieces are encoded once.
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 import re
@@ -141,10 +142,64 @@ class PieceCache:
         return rows
 
 
-def worker_cache(path: str, given: dict | None = None) -> PieceCache:
-    """This worker's cache of piece lengths; it outlives a task."""
+def cuts_at_spaces(path: str) -> bool:
+    """Whether the file is a byte-level BPE that cuts texts as ``pieces`` relies on.
+
+    Any other file may join what stands on both sides of a space, drop white space or change the text first.
+    """
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    cutter, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    by_pattern = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True)
+    plain = spec.get("normalizer") is None and not cutter.get("add_prefix_space", True)
+    return bool(by_pattern and plain and model.get("type") == "BPE" and not model.get("dropout"))
+
+
+class WholeCounter:
+    """Token counts of whole texts, for files whose texts cannot be cut into pieces beforehand.
+
+    ``.json`` files go through tokenizers, ``.model`` files through sentencepiece, ``.tiktoken`` files (ranks)
+    through tiktoken with the pattern of the given vocabularies.
+    """
+
+    def __init__(self, path: str):
+        self.count = self._counter(path)
+
+    @staticmethod
+    def _counter(path: str) -> Callable[[list[str]], list[int]]:
+        if path.endswith(".json"):
+            tokenizer = load(path)
+            return lambda texts: [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if path.endswith(".model"):
+            from sentencepiece import SentencePieceProcessor
+
+            model = SentencePieceProcessor(model_file=path)
+            return lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)]
+        if path.endswith(".tiktoken"):
+            import public_tokenizers
+            import tiktoken
+
+            with open(path, "rb") as file:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+            encoding = tiktoken.Encoding(
+                "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            )
+            return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
+        raise ValueError(f"no library is known for the tokenizer file {os.path.basename(path)}")
+
+    def texts(self, texts: Iterable[str]) -> list[list]:
+        """For each text its count, alone in a list as ``PieceCache`` has those of its pieces."""
+        return [[n] for n in self.count(list(texts))]
+
+
+def worker_cache(path: str, given: dict | None = None) -> PieceCache | WholeCounter:
+    """What this worker counts tokens with; it outlives a task. Whole texts are counted without a table of pieces."""
+    if given is None:
+        return held(("whole", path), lambda: WholeCounter(path))
     cache = held(("pieces", path), lambda: PieceCache(path, length))
-    if given is not None and cache.given is not given:
+    if cache.given is not given:
         cache.given = given
         cache.held.update(given)
     return cache

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdspan.llm.common import texts
-from holdspan.llm.encode import LONGEST, PieceCache, length, pieces, worker_cache
+from holdspan.llm.encode import LONGEST, PieceCache, WholeCounter, cuts_at_spaces, length, pieces, worker_cache
 
 FREQUENT = 65_536  # pieces in the broadcast table: at most 13 M characters, a few MB in practice
 SAMPLE = 4_000  # texts from which that table is chosen; it is a cache, so the counts do not depend on it
@@ -58,8 +58,15 @@ def count_tokens(
     No shuffle: a task reads its texts, looks pieces up in the broadcast table, then in its own cache,
     and encodes the rest. A null text counts as empty, a null id is kept, repeated rows are counted each;
     an empty table gives no rows. Extra columns are not read.
+
+    A ``path`` whose texts cannot be cut at spaces (``.model``, ``.tiktoken``, ``.json`` of another build) has
+    its texts encoded whole, without the table. A file of no known kind is refused at once.
     """
-    given = frequent_lengths(docs, path, text) if frequent is None else frequent
+    if not cuts_at_spaces(path):
+        WholeCounter(path)
+        given = None
+    else:
+        given = frequent_lengths(docs, path, text) if frequent is None else frequent
     shared = docs.sparkSession.sparkContext.broadcast(given)
 
     def count(batches: Iterator[pa.RecordBatch]):

@@ -1,5 +1,6 @@
 """Token counts, packing and matrices against the tokenizer itself."""
 
+import base64
 import random
 import zlib
 from collections import defaultdict
@@ -7,6 +8,8 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
+import tiktoken
 
 from llmfixtures import documents  # noqa: F401
 
@@ -68,6 +71,37 @@ def test_counts(documents, tokenizer, rows):
     assert "Exchange" not in bare._jdf.queryExecution().executedPlan().toString()
 
 
+def library_count(name):
+    path = public_tokenizers.path(name)
+    if name.endswith(".json"):
+        tokenizer = encode.load(path)
+        return lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    if name.endswith(".model"):
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda t: len(model.encode(t))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    ranked = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda t: len(ranked.encode_ordinary(t))
+
+
+FILES = ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"]
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_every_file_counts_as_its_library_does(documents, rows, name):
+    count = library_count(name)
+    more = [*rows, *((k + 1_000, t) for k, t in enumerate(some_texts(400, 40, 3)))]
+    got = tokencount.count_tokens(documents(more).repartition(3), public_tokenizers.path(name))
+    want = sorted((str(d), len((t or "").encode()), count(t or "")) for d, t in more)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in got.collect()) == want
+    assert encode.cuts_at_spaces(public_tokenizers.path(name)) == (name == "byte_bpe_50k.json")
+
+
+def test_an_unknown_kind_of_file_is_refused(documents, rows):
+    with pytest.raises(ValueError):
+        tokencount.count_tokens(documents(rows), "/nowhere/vocabulary.txt")
+
+
 def test_empty_tables(documents):
     docs = documents([])
     assert tokencount.count_tokens(docs, PATH).count() == 0
