@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdspan.operators.chunks import CHUNK, as_of, chunk_of, with_previous
@@ -85,49 +87,69 @@ def apply_offset(
     sign: Column | int = 1,
     scale: float = 1.0,
     keys: Sequence[str] = SENSOR,
-    bin_seconds: int = CHUNK,
+    seconds: int = CHUNK,
 ) -> DataFrame:
     """Samples with ``sign * scale * degrees`` taken out, cut where the setting changes.
 
-    Both sides are laid out on day bins inside the span of the samples, joined on (sensor, bin), and
-    a pair is kept only in the bin where its overlap begins: a busy sensor spreads over its days.
-    Samples of a sensor without a recorded setting are passed on as they are.
+    Starts of samples and of settings are one stream of events. Each event begins at most one piece: of
+    its own sample under the setting in force, or of the sample that is still open when a setting starts.
+    Both are carried from event to event inside a chunk and by one row a chunk beyond it, so a setting
+    costs one row however long it holds, and a busy sensor spreads over its days.
+
+    Neither the samples of a sensor nor its settings overlap. Parts of a sample at which no setting is in
+    force are left out; samples of a sensor without any recorded setting are passed on as they are, also
+    those with a null key. ``sign`` may be a column of either side.
     """
-    intervals = intervals.filter("degrees is not null")
-    known = intervals.select(*keys).distinct()
-    samples = samples.filter("end_ts > start_ts")
-    untouched = samples.join(known, list(keys), "left_anti").select(*keys, "start_ts", "end_ts", "value")
-    span = samples.groupBy(*keys).agg(F.min("start_ts").alias("_lo"), F.max("end_ts").alias("_hi"))
-
-    def bins(start: Column, end: Column) -> Column:
-        step = F.lit(bin_seconds).cast("bigint")
-        return F.explode(F.sequence(chunk_of(start, bin_seconds), chunk_of(end - 1, bin_seconds), step))
-
-    settings = (
-        intervals.join(span, list(keys))
-        .withColumn("from_ts", F.greatest("from_ts", "_lo"))
-        .withColumn("to_ts", F.least("to_ts", "_hi"))
-        .filter("to_ts > from_ts")
-        .withColumn("_bin", bins(F.col("from_ts"), F.col("to_ts")))
-        .drop("_lo", "_hi")
-        # The bins of a setting are many more rows than size estimates see: never broadcast them.
-        .hint("merge")
-    )
-    placed = samples.withColumn("_bin", bins(F.col("start_ts"), F.col("end_ts")))
-    start = F.greatest("start_ts", "from_ts")
-    end = F.least("end_ts", "to_ts")
-    factor = sign if isinstance(sign, Column) else F.lit(float(sign))
-    corrected = (
-        placed.join(settings, [*keys, "_bin"])
-        .filter((end > start) & (chunk_of(start, bin_seconds) == F.col("_bin")))
-        .select(
-            *keys,
-            start.alias("start_ts"),
-            end.alias("end_ts"),
-            (F.col("value") - factor * F.lit(scale) * F.col("degrees")).alias("value"),
-        )
-    )
-    return corrected.unionByName(untouched)
+    keys = list(keys)
+    plain = not isinstance(sign, Column)
+    own = ["start_ts", "end_ts", "value"] if plain else [c for c in samples.columns if c not in keys]
+    held = ["from_ts", "to_ts", "degrees"] if plain else [c for c in intervals.columns if c not in keys]
+    # As a struct the key is never null itself, so the join below does not filter one of the branches.
+    key = F.struct(*keys).alias("_key")
+    begun = samples.filter("end_ts > start_ts").select(
+        key, F.col("start_ts").alias("_at"), F.lit(1).alias("_side"), F.struct(*own).alias("_sample")
+    )
+    changes = intervals.filter("degrees is not null and to_ts > from_ts").select(
+        key, F.col("from_ts").alias("_at"), F.lit(0).alias("_side"), F.struct(*held).alias("_setting")
+    )
+    events = begun.unionByName(changes, allowMissingColumns=True)
+    # Both branches below read all columns of this one shuffle, none filtered, so that it is done once.
+    chunk = F.coalesce(chunk_of(F.col("_at"), seconds), F.lit(0))
+    events = events.withColumn("_chunk", chunk).repartition("_key", "_chunk")
+
+    def latest(state: str) -> Column:
+        return F.max_by(state, F.when(F.col(state).isNotNull(), F.struct("_at", "_side")))
+
+    ends = events.groupBy("_key", "_chunk").agg(latest("_sample").alias("_sample"), latest("_setting").alias("_setting"))
+    of = Window.partitionBy("_key")
+    before = of.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        "_key",
+        "_chunk",
+        F.last("_sample", True).over(before).alias("_open"),
+        F.last("_setting", True).over(before).alias("_force"),
+        F.max(F.col("_setting").isNotNull()).over(of).alias("_known"),
+    )
+    here = Window.partitionBy("_key", "_chunk").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    local = events.withColumns({f"_near{c}": F.last(c, True).over(here) for c in ("_sample", "_setting")})
+    whole = reduce(and_, [F.col(f"_key.{k}").isNotNull() for k in keys])
+    met = local.join(carried, ["_key", "_chunk"]).select(
+        *[F.col(f"_key.{k}").alias(k) for k in keys],
+        "_at",
+        (F.col("_known") & whole).alias("_known"),
+        (F.col("_side") == 0).alias("_changes"),
+        F.coalesce("_sample", "_near_sample", "_open").alias("_sample"),
+        F.coalesce("_near_setting", "_force").alias("_setting"),
+    )
+    factor = F.lit(float(sign)) if plain else sign
+    flat = met.select(*keys, "_at", "_known", "_changes", "_sample.*", "_setting.*")
+    stop = F.when(F.col("_known"), F.least("end_ts", F.when(F.col("degrees").isNotNull(), F.col("to_ts")).otherwise(F.col("_at"))))
+    taken = F.when(F.col("_known"), factor * F.lit(scale) * F.col("degrees")).otherwise(F.lit(0.0))
+    return (
+        flat.withColumn("_stop", stop.otherwise(F.col("end_ts")))
+        .filter("_stop > _at and end_ts > _at and (_known or not _changes)")
+        .select(*keys, F.col("_at").alias("start_ts"), F.col("_stop").alias("end_ts"), (F.col("value") - taken).alias("value"))
+    )
 
 
 def judged_changes(

@@ -1,7 +1,10 @@
 """Settings that correct a sensor."""
 
+import random
+
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from holdspan.operators import offset
 
@@ -42,6 +45,58 @@ def test_samples_are_cut_where_the_setting_changes(spark):
     assert got == [(0, 3 * day + 500, 21.0), (3 * day + 500, 4 * day, 22.0), (4 * day, 4 * day + 10, 23.0)]
 
 
+SAMPLE = "site_id int, sensor string, start_ts bigint, end_ts bigint, value double"
+SPAN = "site_id int, sensor string, from_ts bigint, to_ts bigint, degrees double, way int"
+
+
+def corrected_by_loop(samples, spans):
+    """Each sample against each setting of its sensor."""
+    out = []
+    for site, sensor, start, end, value in samples:
+        own = [p for p in spans if p[:2] == (site, sensor) and p[4] is not None and site is not None]
+        if not own:
+            out.append((site, start, end, value))
+        for _, _, lo, hi, degrees, way in own:
+            if min(end, hi) > max(start, lo):
+                out.append((site, max(start, lo), min(end, hi), value - way * 0.5 * degrees))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pieces_against_a_loop(spark, seed):
+    """Gaps, changes inside a sample, at its ends and days before it, settings without degrees, null keys."""
+    rng = random.Random(seed)
+    samples, spans = [], []
+    for site in (0, 1, 2, 3, None):
+        at = 0
+        while at < 6_000:
+            length = rng.choice([1, 10, 50, 700])
+            samples.append((site, "n", at, at + length, float(rng.randint(0, 50))))
+            at += length + rng.choice([0, 0, 0, 5, 400])
+        if site == 3:
+            continue
+        ends = sorted({rng.choice([rng.randint(-500, 6_500), rng.choice(samples)[2]]) for _ in range(rng.choice([1, 4, 30]))})
+        for lo, hi in zip([offset.ALWAYS, *ends], [*ends, offset.FOREVER], strict=True):
+            if rng.random() < 0.9:
+                spans.append((site, "n", lo, hi, rng.choice([None, 1.0, 2.0, 4.0]), rng.choice([1, -1])))
+    given = spark.createDataFrame(samples, SAMPLE).repartition(3), spark.createDataFrame(spans, SPAN)
+    got = offset.apply_offset(*given, sign=F.col("way"), scale=0.5, seconds=rng.choice([60, 1_000, 86_400]))
+    assert sorted(map(tuple, got.select("site_id", "start_ts", "end_ts", "value").collect()), key=str) == corrected_by_loop(samples, spans)
+
+
+def test_a_setting_costs_one_row_and_events_one_shuffle(spark, tmp_path):
+    year = 365 * 86_400
+    spark.createDataFrame([(0, "n", k * 3600, (k + 1) * 3600, 20.0) for k in range(200)], SAMPLE).write.parquet(str(tmp_path / "samples"))
+    spark.createDataFrame([(0, "n", -10 * year, 10 * year, 1.0, 1)], SPAN).write.parquet(str(tmp_path / "spans"))
+    got = offset.apply_offset(spark.read.parquet(str(tmp_path / "samples")), spark.read.parquet(str(tmp_path / "spans")))
+    assert len(got.collect()) == 200
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert "ReusedExchange" in final and final.count("Exchange hashpartitioning") <= 4
+    assert "Generate" not in plan
+    assert got.agg(F.sum("value")).first()[0] == 200 * 19.0
+
+
 @pytest.mark.parametrize("sign, check", [(1, "added"), (-1, "subtracted"), (0, "unmoved")])
 def test_direction_from_how_readings_move(spark, sign, check):
     at = 100 * 3600
