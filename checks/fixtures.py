@@ -17,11 +17,15 @@ SPARK = {
     "EP": "(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz)) / cast(1000000 as double))",
     "DS": "(cast(unix_date(d) as bigint) * 86400)",
     "FLOOR": "cast(floor({0}) as bigint)",
+    "SITES": "explode(sequence(0, 4))",
+    "HOURS": "explode(sequence(0, 23))",
 }
 DUCK = {
     "EP": "(epoch_us(ts) / 1000000.0::double)",
     "DS": "cast(epoch(d) as bigint)",
     "FLOOR": "cast(floor({0}) as bigint)",
+    "SITES": "unnest(generate_series(0, 4))",
+    "HOURS": "unnest(generate_series(0, 23))",
 }
 
 ORDER_DAYS = """
@@ -116,6 +120,48 @@ TEXT = {
                {WHOLE} as ts, cast(floor(value / 3) as int) % 4 - cast(1.5 as double) as value
         from {events} where event_type = 'error' and user_id % 6 < 5""",
 }
+# Recorder tables of five houses, from the days of the orders. Outside: hourly statistics in °F, in K at one
+# site. The meter: statistics at the end of a day in Wh or MWh, one with a change of meter, a stretch without
+# readings at one site, raw states at another. Rooms: raw states twice a day.
+HOUSE_DAYS = "(select {SITES} as site_id, q.* from (" + ORDER_DAYS + ") q)"
+HOUSE_OUTSIDE = SEASONAL + " + site_id * cast(0.4 as double)"
+OFFSET_NOW = "((extract(year from d) * 12 + extract(month from d)) % 4 - cast(1.5 as double))"
+TEXT["fx_house_meta"] = """
+    select cast(s as int) as site_id, cast(k as bigint) as metadata_id, 'sensor.' || case k when 1 then 'outside' else 'heat_energy' end as series_id,
+           case when k = 1 then case s when 2 then 'K' else '°F' end else case s when 3 then 'MWh' when 0 then 'kWh' else ' Wh ' end end as unit
+    from (select s, case length(r_name) % 2 when 0 then 1 else 2 end as k
+          from (select {SITES} as s, r_name from {region}) q group by 1, 2) z"""
+TEXT["fx_house_total"] = (
+    "select site_id, d, total - case when site_id = 1 and d >= date'1996-06-01' then 4000 else 0 end as total from (select site_id, d, n, "
+    "sum(2 * greatest(cast(0 as double), 15 - (" + HOUSE_OUTSIDE + ")) + 10 + n % 5) over (partition by site_id order by d "
+    "rows between unbounded preceding and current row) as total from " + HOUSE_DAYS + " h) t "
+    "where not (site_id = 2 and d between date'1996-06-10' and date'1996-09-05')"
+)
+TEXT["fx_house_statistics"] = (
+    "select site_id, cast(1 as bigint) as metadata_id, cast({DS} + h * 3600 as double) as start_ts, "
+    "case site_id when 2 then c + cast(273.15 as double) else c * cast(1.8 as double) + 32 end as mean, cast(null as double) as state from (select site_id, d, {HOURS} as h, "
+    + HOUSE_OUTSIDE + " as c from " + HOUSE_DAYS + " h) o union all "
+    "select site_id, 2, cast({DS} + 82800 as double), cast(null as double), total * case site_id when 3 then cast(0.001 as double) when 0 then 1 else 1000 end from ("
+    + TEXT["fx_house_total"] + ") m where site_id <> 4"
+)
+TEXT["fx_house_states"] = (
+    """
+    select site_id, series_id, row_number() over (partition by site_id, series_id order by ts) as row_id, cast(ts as double) as ts, state from (
+      select site_id, 'sensor.r' || k || '_temperature' as series_id, {DS} + half * 1100 as ts,
+             cast(20 + site_id * cast(0.25 as double) + (p / cast(97003 as double) - cast(2.5 as double))
+                  + case when half = 1 and k = '1' then (case when site_id % 2 = 0 then 1 else -1 end) * case when """ + OFFSET_NOW + """ < -1 then -3 else 1 end
+                         else 0 end as {STR}) as state
+      from (select {SITES} as site_id, k, d, p, half from (
+              select k, d, p, 0 as half from (select substr(o_orderpriority, 1, 1) as k, cast(o_orderdate as date) as d, avg(o_totalprice) as p from {orders} group by 1, 2) a
+              union all
+              select k, d, p, 1 as half from (select substr(o_orderpriority, 1, 1) as k, cast(o_orderdate as date) as d, avg(o_totalprice) as p from {orders} group by 1, 2) b) u) v
+      union all
+      select site_id, name, {DS} + 1000, case when name like '%3%' then 'unavailable' else cast(""" + OFFSET_NOW + """ as {STR}) end
+      from (select site_id, d, name from (select h.*, """
+    + "{EACH}(" + ", ".join(f"'number.r{n}'" for n in ("1_temperature_offset", "2_temperature_offset", "2_local_calibration", "3_temperature_offset")) + "{END} as name from "
+    + HOUSE_DAYS + " h) w) n union all select site_id, 'sensor.heat_energy', {DS} + 86400, cast(total as {STR}) from ("
+    + TEXT["fx_house_total"] + ") m where site_id = 4) s"
+)
 # Whole tables in place of the fixtures above that leave rows out. An error ends what both directions hold.
 WHOLE = {
     "fx_grid": """
@@ -150,7 +196,7 @@ def _fill(text: str, dialect: dict[str, str], tables: dict[str, str]) -> str:
         "HOUR_TS": f"({whole} - {whole} % 3600)",
         "FIVE_TS": f"({whole} - {whole} % 300)",
         "WHOLE": whole,
-        "STR": dialect["STR"],
+        **{k: dialect[k] for k in ("STR", "SITES", "HOURS", "EACH", "END")},
         "META": TEXT["fx_meta"],
     }
     for _ in range(2):
@@ -159,9 +205,9 @@ def _fill(text: str, dialect: dict[str, str], tables: dict[str, str]) -> str:
     return text
 
 
-SPARK["STR"] = "string"
-DUCK["STR"] = "varchar"
-TABLES = ("events", "orders", "nation", "supplier", "lineitem")
+SPARK |= {"STR": "string", "EACH": "explode(array", "END": "))"}
+DUCK |= {"STR": "varchar", "EACH": "unnest(list_value", "END": "))"}
+TABLES = ("events", "orders", "nation", "region", "supplier", "lineitem")
 
 
 def duck(name: str, text: str | None = None) -> str:

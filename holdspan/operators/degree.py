@@ -87,6 +87,11 @@ def group_days(days: DataFrame, rooms: DataFrame, min_coverage: float = 0.9) ->
     )
 
 
+def partial_days(room_days: DataFrame) -> DataFrame:
+    """Per room, on how many days only some of its sensors covered the day; rooms without such days left out."""
+    return room_days.filter("partial").groupBy("site_id", *ROOM).agg(F.count(F.lit(1)).alias("partial_days"))
+
+
 def heating_degrees(mean: Column, base: float = 15.0) -> Column:
     """Degrees below the heating base."""
     return F.greatest(F.lit(base) - mean, F.lit(0.0))

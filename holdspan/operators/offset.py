@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -246,3 +246,28 @@ def offset_findings(
         F.when(corrected, F.coalesce("check", F.lit("untested"))).alias("check"),
         F.when(corrected & (F.col("_start") < F.col("_first")), F.col("_first")).alias("assumed_before"),
     )
+
+
+def take_out_offsets(
+    samples: DataFrame,
+    sensors: DataFrame,
+    names: DataFrame,
+    history: DataFrame,
+    readings: DataFrame,
+    settle: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> tuple[DataFrame, DataFrame]:
+    """Samples as the devices measured them, and what was found for each sensor.
+
+    ``sensors``: site_id, sensor and ``scale``, the factor from a setting's degrees to those of the samples;
+    ``names``: every setting there is, also one without a history; ``history`` of the settings and
+    ``readings`` of the sensors as recorded. Only a sensor with exactly one setting is corrected, in the
+    direction its own readings show. Settled, each sensor's setting is worked out once for both results.
+    """
+    matches = match_settings(sensors, names)
+    single = matches.groupBy(*SENSOR).agg(F.count(F.lit(1)).alias("_n"), F.min("setting").alias("setting"))
+    spans = settle(setting_intervals(history))
+    own = spans.join(single.filter("_n = 1").select(*SENSOR, "setting"), list(SETTING)).drop("setting")
+    directions = settle(offset_direction(judged_changes(own, readings), sensors))
+    by = directions.join(sensors, list(SENSOR)).select(*SENSOR, (F.col("sign") * F.col("scale")).alias("_by"))
+    corrected = apply_offset(samples, own.join(by, list(SENSOR)), sign=F.col("_by"))
+    return corrected, offset_findings(sensors, matches, spans, directions, samples)

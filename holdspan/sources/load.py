@@ -15,8 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdspan import KEYS
-from holdspan.functions.values import clamp_negative, conversion, finite, parse_value
-from holdspan.operators.intervals import STATISTICS_SECONDS, state_samples, statistics_samples
+from holdspan.functions.values import clamp_negative, conversion, energy_scale, finite, parse_value
+from holdspan.operators.intervals import (
+    STATISTICS_SECONDS,
+    counter_readings,
+    setting_history,
+    state_samples,
+    statistics_samples,
+)
 from holdspan.operators.settle import settled
 from holdspan.options import ReadOptions
 from holdspan.sources.catalog import ID, SOURCE_ORDER
@@ -121,3 +127,44 @@ def load_samples(
     )
     provenance = wanted.drop("ids").join(facts, list(KEYS), "left").withColumn("samples", F.coalesce("samples", F.lit(0)))
     return Loaded(samples, provenance, refused)
+
+
+@dataclass(frozen=True)
+class Totals:
+    """Readings of running totals in kWh (keys, ``ts``, ``total``), where each meter was read from, and
+    the meters whose unit is no energy."""
+
+    readings: DataFrame
+    provenance: DataFrame
+    refused: DataFrame
+
+
+def load_totals(
+    meters: DataFrame, tables: Tables, settle: Callable[[DataFrame], DataFrame] = settled
+) -> Totals:
+    """Read each meter (keys) from its hourly statistics, or from raw states where those hold no total.
+
+    The settled decision has a row a meter; each table is then read for the meters it answers for alone.
+    Raw states carry no unit and are taken to be in kWh.
+    """
+    asked = meters.select(*KEYS).distinct()
+    ids = tables.meta.join(asked, list(KEYS)).select(*KEYS, F.col("metadata_id").cast("bigint"), "unit")
+    hourly = counter_readings(tables.statistics.join(ids, list(ID)), [*KEYS, "unit"])
+    found = hourly.groupBy(*KEYS).agg(F.max("unit").alias("unit"), F.lit(True).alias("_hourly"))
+    decision = settle(
+        asked.join(found, list(KEYS), "left").select(
+            *KEYS,
+            F.when(F.col("_hourly"), "statistics").otherwise("states").alias("source"),
+            "unit",
+            F.when(F.col("_hourly"), energy_scale(F.col("unit"))).otherwise(1.0).alias("scale"),
+        )
+    )
+    wanted = decision.filter("scale is not null")
+
+    def of(source: str) -> DataFrame:
+        return wanted.filter(F.col("source") == source).select(*KEYS, "scale")
+
+    counted = hourly.drop("unit").join(of("statistics"), list(KEYS)).withColumn("total", F.col("total") * F.col("scale"))
+    raw = setting_history(tables.states.join(of("states").select(*KEYS), list(KEYS)))
+    readings = counted.select(*KEYS, "ts", "total").unionByName(raw.select(*KEYS, "ts", F.col("value").alias("total")))
+    return Totals(readings, wanted, decision.filter("scale is null").select(*KEYS, "source", "unit"))
