@@ -58,3 +58,15 @@ def test_only_a_sensor_with_one_recorded_setting_is_corrected(spark):
         "study": ("unrecorded", None, None),
         "attic": ("none", None, None),
     }
+
+
+def test_the_report_does_not_go_back_to_the_orders(spark, tmp_path, monkeypatch):
+    from checks import q_house
+    from checks.fixtures import Fixtures
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    monkeypatch.setattr(q_house, "recorded_heating", lambda *given, **named: given)
+    _, meters, tables, dim, houses, *_ = q_house.house(Fixtures(spark, "/root/testdata/sf0.001"))
+    files = [f for df in (meters, tables.statistics, tables.short_term, tables.states, dim, houses) for f in df.inputFiles()]
+    assert not [f for f in files if "orders" in f]
+    assert tables.states.count() > 0 and tables.statistics.count() > 0
