@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -177,7 +178,7 @@ class Scorer:
     def find(self, grams: list[str]) -> np.ndarray:
         """The ratio of each n-gram, NaN for one that is not in the table."""
         digest = xxhash.xxh64_intdigest
-        want = np.fromiter((digest(g.encode(), 42) for g in grams), np.uint64, len(grams)).view(np.int64)
+        want = np.fromiter(map(digest, map(str.encode, grams), repeat(42)), np.uint64, len(grams)).view(np.int64)
         if not len(self.keys):
             return np.full(len(grams), np.nan)
         at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
@@ -188,24 +189,28 @@ class Scorer:
         totals = np.zeros(len(raw))
         grams: list[str] = []
         of: list[int] = []
+        sizes: list[int] = []
 
         def add_up():
             values = self.find(grams)
             lost = np.flatnonzero(np.isnan(values))  # no such n-gram
             values[lost] = self.find([grams[i][:-1] + BLANK for i in lost])
-            np.add.at(totals, of, np.nan_to_num(values))
+            np.add.at(totals, np.repeat(np.array(of, np.int64), sizes), np.nan_to_num(values))
             grams.clear()
             of.clear()
+            sizes.clear()
 
         for k, w in enumerate(raw):
             spelled = w.lower().strip(EDGES)
             if not spelled:
                 continue
             s = START + spelled + END
-            for i in range(1, len(s)):
-                grams.append(s[max(0, i - ORDER + 1) : i + 1])
+            for start in range(2, len(s) + 1, GRAMS_AT_ONCE):
+                stop = min(len(s) + 1, start + GRAMS_AT_ONCE)
+                grams.extend([s[e - ORDER if e > ORDER else 0 : e] for e in range(start, stop)])
                 of.append(k)
-                if len(grams) == GRAMS_AT_ONCE:
+                sizes.append(stop - start)
+                if len(grams) >= GRAMS_AT_ONCE:
                     add_up()
         add_up()
         return np.minimum(MOST, np.log1p(SHARE * np.expm1(np.minimum(totals, 30.0)))).tolist()
