@@ -1,40 +1,70 @@
-"""Connected components of links between nodes, by labels that spread and jump."""
+"""Connected components of links between nodes: forests of parts of the links, then labels that spread and jump."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdspan.llm.common import cut
 
+LINKS_AT_ONCE = 50_000  # links that a task makes one forest of
+
 
 def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, root`` of every node in ``links`` (``a, b``): the root is the smallest node reachable.
 
-    Links become parent pointers: in turn every node's larger neighbours are hung under its smallest
-    neighbour, then its smaller ones. Both steps keep components as they are and shorten paths, so
-    the number of rounds grows with the logarithm of the longest path. Each round is written to the
-    shared folder; nothing is gathered on the driver but whether something changed. A node with many
-    links is reduced to its smallest neighbour map-side first.
+    Links are read twice, so they should be at hand. So many at once become a forest first, in as many
+    tasks as there are such parts; few links need no more than that. Links become parent pointers: in turn
+    every node's larger neighbours are hung under its smallest neighbour, then its smaller ones. Both
+    steps keep components as they are and shorten paths, so the number of rounds grows with the logarithm
+    of the longest path. Each round is written to the shared folder; nothing is gathered on the driver but
+    whether something changed. A node with many links is reduced to its smallest neighbour map-side first.
     """
-    edges = cut(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+    parts = links.count() // LINKS_AT_ONCE + 1
+    pairs = links.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
+    edges = cut(_forests(pairs.coalesce(parts)))
     for _ in range(rounds):
-        stars = cut(_small_star(_large_star(edges)))
-        # Done when every edge leads straight to a root: no head of an edge has a smaller neighbour itself.
-        deep = stars.select(F.col("v").alias("u")).join(stars.select("u").distinct(), "u", "left_semi")
-        if deep.isEmpty() and not _shares(stars):
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        edges = stars
+        parents = edges.unionByName(edges.select(F.col("v").alias("u"), "v")).groupBy(F.col("u").alias("node"))
+        found = cut(parents.agg(F.min("v").alias("root"), F.max("v").alias("other")).coalesce(parts))
+        # Done when every edge leads straight to a root: a root is its own parent, and nobody has two.
+        if found.where("root <> other").isEmpty():
+            return found.select("node", "root")
+        edges = cut(_small_star(_large_star(edges)).coalesce(parts))
     raise RuntimeError(f"components did not settle within {rounds} rounds")
 
 
-def _shares(stars: DataFrame) -> bool:
-    """Whether a node still has two parents."""
-    return not stars.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+def _forests(pairs: DataFrame) -> DataFrame:
+    """``u, v`` that connect what ``pairs`` do: of each part of them, the nodes and their smallest one."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        kept, n = [], 0
+        for batch in batches:
+            kept.append([batch.column(k).to_numpy() for k in (0, 1)])
+            n += batch.num_rows
+            if n >= LINKS_AT_ONCE:
+                yield _forest(*map(np.concatenate, zip(*kept, strict=True)))
+                kept, n = [], 0
+        if n:
+            yield _forest(*map(np.concatenate, zip(*kept, strict=True)))
+
+    return pairs.mapInArrow(run, "u long, v long")
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """Every node and the smallest one it is connected with, but for those themselves."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (root[root] != root).any():
+            root = root[root]
+    own = root != np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], ["u", "v"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -416,7 +416,7 @@ def _marks(doc_ids: DataFrame) -> np.ndarray:
     """A bit for each document, by the hash of its id; they are set in Spark and bounded by ``MARKS``."""
     pages = doc_ids.select(*_places("doc_id")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
     out = np.zeros(MARKS // 8, np.uint8)
-    for row in pages.toLocalIterator():
+    for row in pages.coalesce(8).toLocalIterator():
         at = row.page * PAGE // 8
         out[at : at + PAGE // 8] = np.frombuffer(bytes(row.bits), np.uint8)
     return out

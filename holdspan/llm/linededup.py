@@ -161,22 +161,36 @@ class LineIndex:
         self.shards = _shards(sum(sizes.values()))
         self._write(self.counts, self.filters)
         for k in sorted(sizes):
-            looked_up = cut(_look_up(self._count(stored.where(F.col("part") == k)), self.filters))
-            known = looked_up.where("seen").select(*KEY, "n_docs", "last_doc")
-            held = self.counts.join(known.select(*KEY), KEY, "left_semi").select(*KEY, "n_docs", "last_doc")
-            both = held.unionByName(known).groupBy(*KEY)
-            summed = both.agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-            self._merge(looked_up, known, summed.select(self._shard(), *KEY, "n_docs", "last_doc"), len(sizes))
+            looked_up = cut(_look_up(self._count(stored.where(F.col("part") == k)), self.filters).coalesce(self.shards))
+            self._add(looked_up, len(sizes))
             self.logs.append(f"{staged}/part={k}")
 
-    def _merge(self, looked_up: DataFrame, known: DataFrame, again: DataFrame, room: int = 1) -> None:
+    def _add(self, looked_up: DataFrame, room: int) -> None:
+        """Counts with the new lines of ``looked_up`` as they are and with those that were seen added to their own.
+
+        Tables have a file a shard, however many partitions a shuffle has.
+        """
+        path = f"{self.folder}/counts-{self.version + 1}"
+        marked = looked_up.withColumn("new", F.lit(True))
+        known, fresh = marked.where("seen").drop("seen"), marked.where("not seen").drop("seen")
+        summed = self.counts.withColumn("new", F.lit(False)).unionByName(known).groupBy("shard", *KEY).agg(
+            F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.min("new").alias("new")
+        )
+        summed.unionByName(fresh).coalesce(self.shards).write.parquet(path)
+        counts = self.spark.read.schema(COUNTS + ", new boolean").parquet(path)
+        # The filters gain exactly the lines that the counts did not hold: fresh ones and false alarms.
+        filters = _filled(counts.where("new").select("shard", *KEY), self.filters, counts, room, self.shards)
+        filters.write.parquet(f"{self.folder}/filters-{self.version + 1}")
+        self.version += 1
+
+    def _merge(self, looked_up: DataFrame, known: DataFrame, again: DataFrame) -> None:
         """Counts with the new lines of ``looked_up`` as they are and with ``again`` for the ``known`` ones."""
         fresh = looked_up.where("not seen").drop("seen")
         counts = cut(self.counts.join(known, KEY, "left_anti").unionByName(again).unionByName(fresh))
         # The filters gain exactly the lines that the counts did not hold: fresh ones and false alarms.
         alarms = again.select("shard", *KEY).join(self.counts.select(*KEY), KEY, "left_anti")
         new = fresh.select("shard", *KEY).unionByName(alarms)
-        self._write(counts, _filled(new, self.filters, counts, room))
+        self._write(counts, _filled(new, self.filters, counts))
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Take back all references of the documents in ``doc_ids`` (``doc_id``)."""
@@ -232,10 +246,12 @@ def _look_up(batch: DataFrame, filters: DataFrame) -> DataFrame:
     return batch.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(run, COUNTS + ", seen boolean")
 
 
-def _filled(new: DataFrame, filters: DataFrame, counts: DataFrame | None = None, room: int = 1) -> DataFrame:
+def _filled(
+    new: DataFrame, filters: DataFrame, counts: DataFrame | None = None, room: int = 1, shards: int = 0
+) -> DataFrame:
     """The filters with the lines of ``new``; one that is too full is built again from ``counts``.
 
-    A new filter has room for ``room`` times its lines.
+    A new filter has room for ``room`` times its lines. ``shards``, if given, bounds the tasks.
     """
 
     def run(key: tuple, lines: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
@@ -254,8 +270,10 @@ def _filled(new: DataFrame, filters: DataFrame, counts: DataFrame | None = None,
     grown = new.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(run, FILTERS)
     if counts is None:
         return grown
-    grown = cut(grown)
+    grown = cut(grown.coalesce(shards) if shards else grown)
     full = grown.where("slots is null").select("shard")
+    if full.isEmpty():
+        return grown
     none = filters.limit(0)
     rebuilt = _filled(counts.join(full, "shard", "left_semi"), none)
     return grown.where("slots is not null").unionByName(rebuilt)

@@ -5,7 +5,7 @@ import random
 import pytest
 from llmfixtures import documents  # noqa: F401
 
-from holdspan.llm import jaccard
+from holdspan.llm import components, jaccard
 from holdspan.llm.components import connected
 
 
@@ -160,3 +160,40 @@ def test_components(spark):
             root[y] = x
     got = connected(spark.createDataFrame(links, "a long, b long")).collect()
     assert sorted((r.node, r.root) for r in got) == sorted((i, find(i)) for i in root)
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """Shuffles as wide as on a cluster, whatever they carry."""
+    names = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_few_links_are_few_tasks(spark, many_partitions):
+    """Small tables in between are not spread over every partition of a shuffle, each with its files."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long").repartition(50, "a")
+    got = connected(links)
+    assert got.rdd.getNumPartitions() == 1
+    assert sorted(map(tuple, got.collect())) == [(i, 0) for i in range(301)]
+
+
+def test_links_in_many_parts(spark, monkeypatch):
+    """Forests of parts are joined by the rounds."""
+    random.seed(9)
+    links = [(random.randrange(400), random.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(60)]
+    table = spark.createDataFrame(links, "a long, b long").repartition(12)
+    whole = sorted(map(tuple, connected(table).collect()))
+    monkeypatch.setattr(components, "LINKS_AT_ONCE", 40)
+    assert sorted(map(tuple, connected(table).collect())) == whole
+    root, before = {n: n for a, b in links if a != b for n in (a, b)}, None
+    while root != before:
+        before = dict(root)
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert whole == sorted(root.items())

@@ -1,10 +1,12 @@
 """Line dedup against a loop, its index forwards and backwards, and the filter."""
 
+import os
 import random
 
 import numpy as np
 import pytest
 from llmfixtures import documents  # noqa: F401
+from pyspark.sql import functions as F
 
 from holdspan.llm import linededup
 from holdspan.llm.common import WHITE
@@ -157,3 +159,35 @@ def test_columns_of_the_same_names(documents):
     got = linededup.dedup_lines(docs)
     assert got.columns == ["doc_id", "text", "_drop", "_of", "_kept", "_n_lines", "_n_dropped", "_kept_sha256"]
     assert sorted((r.doc_id, r._n_dropped, r._kept) for r in got.collect()) == [(i, 1, "own") for i in range(5)] + [(5, 0, rows[5][1])]
+
+
+def test_tables_have_a_file_a_shard(documents, spark):
+    """Not one for every partition of each shuffle that led to them."""
+    rows = corpus(8)
+    names = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        index = linededup.LineIndex.temporary(spark)
+        index.load(documents(rows))
+        assert found(index.apply(documents(rows), whole=True)) == left_of(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for name in ("counts", "filters"):
+        for version in range(2, index.version + 1):
+            folder = f"{index.folder}/{name}-{version}".removeprefix("file:")
+            assert len([f for f in os.listdir(folder) if f.startswith("part-")]) <= index.shards
+
+
+def test_false_alarms_of_a_load(documents, spark, monkeypatch):
+    """Lines that the filters only seem to hold are new: counts are right, and each is in its filter once."""
+    rows = corpus(5)
+    one, many = (linededup.LineIndex.temporary(spark) for _ in range(2))
+    one.load(documents(rows))
+    real = linededup._look_up
+    monkeypatch.setattr(linededup, "_look_up", lambda *given: real(*given).withColumn("seen", F.lit(True)))
+    many.load(documents(rows))
+    assert counted(many) == counted(one)
+    assert sum(r.lines for r in many.filters.collect()) == len(counted(one))
