@@ -92,6 +92,16 @@ def test_pairing_drops_thin_and_lonely_slots(spark):
     assert rows(joined, *columns) == rows(paired, *columns)
 
 
+def test_totals_without_a_kept_slot_are_null(spark):
+    """No energy was measured together, which is not an energy of nought."""
+    given = spark.createDataFrame(
+        [(7, "import", 0, 3600, 10.0)], "site_id bigint, role string, start_ts bigint, end_ts bigint, value double"
+    )
+    total = energy.pairing_totals(energy.paired_slots(energy.role_slots(given))).first()
+    assert (total.steps, total.dropped_partial, total.dropped_unpaired) == (0, 0, 1)
+    assert (total.import_kwh, total.export_kwh, total.seconds) == (None, None, None)
+
+
 @pytest.fixture(scope="module")
 def priced(spark):
     rng = random.Random(8)
