@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdspan.llm.common import cut, held, texts
+from holdspan.llm.common import cut, cut_small, held, texts
 from holdspan.llm.components import connected
 
 SLICE = 256  # texts handled at once
@@ -510,7 +510,7 @@ def _prepared(docs: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame, Data
     """The set of each row, the shared blocks, and the content of every set that shares one."""
     sets = cut(sets_of(docs, shape))
     docs = docs.where("doc_id is not null")
-    members = cut(shared_blocks(block_keys(docs, shape)))
+    members = cut_small(shared_blocks(block_keys(docs, shape)))
 
     # One text stands for each set that shares a block with another one. A set may come from several
     # tasks; pairs then repeat, which changes nothing.
@@ -568,13 +568,13 @@ def similarity_classes(
     votes = members.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
     stars = votes.groupBy("node").agg(F.max(F.struct("n", "centre")).alias("best"))
     pairs = stars.select(F.col("node").alias("u"), F.col("best.centre").alias("v"))
-    first = cut(similar(pairs, content, shape))
+    first = cut_small(similar(pairs, content, shape))
     roots = connected(first.toDF("a", "b"))
 
     # Then components that meet in a block with near sketches form clusters, in which sets decide.
-    links = cut(near_links(_open_blocks(members, roots, content), shape))
+    links = cut_small(near_links(_open_blocks(members, roots, content), shape))
     if not links.isEmpty():
-        more = cut(true_links(near_clusters(links, roots, content), shape))
+        more = cut_small(true_links(near_clusters(links, roots, content), shape))
         if not more.isEmpty():
             roots = connected(first.unionByName(more).toDF("a", "b"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from holdspan.llm.common import WORD, cut, held, texts
+from holdspan.llm.common import ROWS_A_TASK, WORD, cut, held, texts
 
 ORDER = 7  # characters of the longest n-gram
 DISCOUNT = 2.0  # taken from each count of a class: two sightings of an n-gram are no evidence
@@ -92,12 +92,12 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return cut_up.groupBy("gram").agg(*[F.sum(k).alias(k) for k in sides])
 
 
-def backoff(counts: DataFrame) -> DataFrame:
+def backoff(counts: DataFrame, parts: int) -> DataFrame:
     """Shared probability of a character after two others: Kneser-Ney on kinds of longer n-grams."""
     tail = F.expr("right(gram, 3)")
-    kinds = counts.groupBy(tail.alias("tail")).agg(F.count("*").alias("n"))
+    kinds = cut(counts.groupBy(tail.alias("tail")).agg(F.count("*").alias("n")).coalesce(parts))
     kinds = kinds.withColumns({"before": F.expr("left(tail, length(tail) - 1)"), "last": F.expr("right(tail, 1)")})
-    ones = kinds.groupBy("last").agg(F.count("*").alias("kinds_of_last"))
+    ones = kinds.groupBy("last").agg(F.count("*").alias("kinds_of_last")).coalesce(parts)
     every = ones.agg(F.sum("kinds_of_last")).first()[0] or 1
     of = W.partitionBy("before")
     total, types = F.sum("n").over(of), F.count("*").over(of)
@@ -115,9 +115,13 @@ def score_table(counts: DataFrame) -> DataFrame:
     """The log-likelihood ratios (all folds, fold 0 alone) of every n-gram, keyed by its 64-bit hash.
 
     A context has an entry too, for characters that neither class has seen after it: there the shared
-    part cancels and only the classes' weights for falling back remain.
+    part cancels and only the classes' weights for falling back remain. It leaves with the context's
+    first n-gram, so the counts, which should be at hand, are joined once. What shuffles leave is read by
+    as many tasks as the counts fill.
     """
-    shared = backoff(counts)
+    parts = counts.count() // ROWS_A_TASK + 1
+    counts = counts.coalesce(parts)
+    shared = backoff(counts, parts)
     of = W.partitionBy("context")
     each = counts.withColumns(
         {
@@ -127,11 +131,11 @@ def score_table(counts: DataFrame) -> DataFrame:
             "o": F.col("o0") + F.col("o1"),
         }
     )
-    sums, rates = {}, {}
+    sums, rates = {"first": F.col("gram") == F.min("gram").over(of)}, {}
     for k in ("t", "o", "t0", "o0"):
         sums[f"all_{k}"] = F.sum(k).over(of)
         sums[f"off_{k}"] = F.sum(F.least(F.col(k), F.lit(DISCOUNT))).over(of)
-    each = each.withColumns(sums).join(shared, "tail")
+    each = each.withColumns(sums).coalesce(parts).join(shared, "tail")
     for k in ("t", "o", "t0", "o0"):
         some = F.col(f"all_{k}") > 0
         rates[f"fall_{k}"] = F.when(some, F.col(f"off_{k}") / F.col(f"all_{k}")).otherwise(F.lit(1.0))
@@ -142,15 +146,13 @@ def score_table(counts: DataFrame) -> DataFrame:
     def ratio(a: str, b: str) -> Column:
         return (F.log(F.col(a)) - F.log(F.col(b))).cast("float")
 
-    def entries(rows: DataFrame, key: Column, full: Column, half: Column) -> DataFrame:
-        return rows.select(F.xxhash64(key).alias("key"), full.alias("full"), half.alias("half"))
+    def entry(key: Column, full: Column, half: Column) -> Column:
+        return F.struct(F.xxhash64(key).alias("key"), full.alias("full"), half.alias("half"))
 
-    grams = entries(each, F.col("gram"), ratio("p_t", "p_o"), ratio("p_t0", "p_o0"))
-    once = each.dropDuplicates(["context"])
-    contexts = entries(
-        once, F.concat("context", F.lit(BLANK)), ratio("fall_t", "fall_o"), ratio("fall_t0", "fall_o0")
-    )
-    return grams.unionByName(contexts)
+    gram = entry(F.col("gram"), ratio("p_t", "p_o"), ratio("p_t0", "p_o0"))
+    context = entry(F.concat("context", F.lit(BLANK)), ratio("fall_t", "fall_o"), ratio("fall_t0", "fall_o0"))
+    entries = F.when(F.col("first"), F.array(gram, context)).otherwise(F.array(gram))
+    return each.select(F.explode(entries).alias("entry")).select("entry.*").coalesce(parts)
 
 
 def fetched(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

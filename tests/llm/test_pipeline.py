@@ -118,3 +118,25 @@ def test_stages_take_odd_rows_and_extra_columns(spark, some):
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() > 0 and got.columns[:2] == ["doc_id", "start"]
+
+
+@pytest.mark.parametrize("stage, most", [("toxicity", 3_500), ("ngram_jaccard_join", 6_200)])
+def test_small_tables_take_few_tasks(spark, stage, most):
+    """The driver hears of every task, so a small table read often does not stay in a partition a shuffle has."""
+    context = spark.sparkContext
+    names = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    group = f"tasks of {stage}"
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        context.setJobGroup(group, group)
+        dict(corpus_pipeline.STAGES)[stage](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).count()
+    finally:
+        context.setJobGroup("", "")
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    said = context.statusTracker()
+    stages = {i for job in said.getJobIdsForGroup(group) for i in said.getJobInfo(job).stageIds}
+    tasks = sum(info.numCompletedTasks for i in stages if (info := said.getStageInfo(i)))
+    assert 0 < tasks <= most, tasks
